@@ -1,10 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters are a seed lexicon and words and word beginnings that labelled rows show to be telling, each voting
-`toxic` where it occurs. A generative model (two latent classes, voters independent given the class) is fitted to
-the votes by expectation-maximisation; residual correlations of the voters within the classes are then
-estimated, and voters that echo each other share one voice. Its posteriors, not the labels, train a linear
-classifier over the presence of words and word beginnings, which scores every text.
+`toxic` where it occurs; the rows' own labels are one more, fallible voter. A generative model (two latent classes)
+is fitted to the votes by expectation-maximisation, giving each voter's accuracy; residual correlations of the
+voters within the classes are then estimated, and voters that echo each other share one voice. Its posteriors,
+not the labels, train a linear classifier over the presence of words and word beginnings, which scores every text.
 
 The fit looks at no more than MAX_TRAIN labelled rows (those of the smallest id hashes) and keeps at most
 VOCABULARY features, whatever the size of the corpus; scoring reads every whole text and shuffles nothing.
@@ -64,28 +64,37 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of class 1, the voters' rates (class 0, class 1), and their weights for correlation."""
+def label_model(votes: np.ndarray, prior: float, given: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors of `toxic`, the voters' accuracies where they vote, and their voices after correlation.
+
+    A voter votes or abstains; abstaining says nothing, so that voters for one language don't speak against
+    texts of another. given: labels 0/1, which count as one more voter that never abstains.
+    """
     n, m = votes.shape
     v = votes.astype(np.float64)
-    p = np.where(v.sum(1) > 0, 0.9, prior / 2)
-    voice = np.ones(m)
+    p = v.sum(1) / max(m, 1) if given is None else np.clip(given.astype(np.float64), 0.02, 0.98)
+    base, voice = math.log(prior / (1 - prior)), np.ones(m)
     for i in range(rounds):
-        w1, w0 = p.sum() + 1e-9, (1 - p).sum() + 1e-9
-        a = np.clip((p @ v + 0.5) / (w1 + 1), 1e-6, 1 - 1e-6)
-        b = np.clip(((1 - p) @ v + 0.1) / (w0 + 1), 1e-6, 1 - 1e-6)
+        accuracy = np.clip((p @ v + prior) / (v.sum(0) + 1), 1e-4, 1 - 1e-4)
         if i == rounds // 2:
             # Correlations left within the classes: a voter's voice is shared with those that echo it.
-            r1, r0 = v - a, v - b
+            r1, r0 = v - (p @ v) / (p.sum() + 1e-9), v - ((1 - p) @ v) / ((1 - p).sum() + 1e-9)
             cov = (r1 * p[:, None]).T @ r1 + (r0 * (1 - p)[:, None]).T @ r0
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            voice = 1 / np.maximum(1.0, np.clip(cov / np.outer(sd, sd), 0, 1).sum(1))
-        z = math.log(prior / (1 - prior)) + v @ (voice * np.log(a / b)) + (1 - v) @ (voice * np.log((1 - a) / (1 - b)))
+            echo = cov / np.outer(sd, sd)
+            voice = 1 / np.maximum(1.0, np.where(echo > 0.1, np.minimum(echo, 1), 0).sum(1))
+        z = base + v @ (voice * (np.log(accuracy / (1 - accuracy)) - base))
+        if given is not None:
+            hit, slip = (p @ given + 1) / (p.sum() + 2), ((1 - p) @ given + 0.5) / ((1 - p).sum() + 5)
+            z += np.where(given > 0, math.log(hit / slip), math.log((1 - hit) / (1 - slip)))
+        else:
+            # Without labels, silence of all voters is the only sign of class 0.
+            z -= np.where(v.any(1), 0, 4)
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if np.abs(new - p).max() < 1e-6 and i > rounds // 2:
             break
         p = new
-    return p, np.stack([b, a]), voice
+    return p, accuracy, voice
 
 
 def linear_fit(rows: list[np.ndarray], target: np.ndarray, size: int, rounds: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -148,17 +157,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array([at[f] for f in x.as_py() if f in at], np.int16).tobytes() for x in b.column(1)], pa.binary())], ["doc_id", "cols"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array([at[f] for f in x.as_py() if f in at], np.int16).tobytes() for x in b.column(1)], pa.binary()), b.column(2)], ["doc_id", "cols", "y"])
 
     # At most max_train rows of at most VOCABULARY two-byte numbers.
-    rows = [np.frombuffer(r["cols"], np.int16) for r in sorted(seen.select("doc_id", "f").mapInArrow(code, "doc_id long, cols binary").toLocalIterator(), key=lambda r: r["doc_id"])]
+    sample = sorted(seen.select("doc_id", "f", "y").mapInArrow(code, "doc_id long, cols binary, y int").collect(), key=lambda r: r["doc_id"])
+    rows = [np.frombuffer(r["cols"], np.int16) for r in sample]
     number = np.full(len(vocabulary), -1)
     number[[at[v] for v in voters]] = np.arange(len(voters))
     votes = np.zeros((len(rows), len(voters)), bool)
     for i, r in enumerate(rows):
         own = number[r]
         votes[i, own[own >= 0]] = True
-    posterior, _, _ = label_model(votes, toxic / total)
+    posterior, _, _ = label_model(votes, toxic / total, np.array([r["y"] > 0 for r in sample], np.int64))
     w, bias = linear_fit(rows, posterior, len(vocabulary))
     return Model({f: float(x) for f, x in zip(vocabulary, w) if abs(x) > 1e-4}, float(bias))
 
