@@ -64,15 +64,15 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def label_model(votes: np.ndarray, prior: float, given: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, given: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of `toxic`, the voters' accuracies where they vote, and their voices after correlation.
 
     A voter votes or abstains; abstaining says nothing, so that voters for one language don't speak against
     texts of another. given: labels 0/1, which count as one more voter that never abstains.
     """
-    n, m = votes.shape
+    m = votes.shape[1]
     v = votes.astype(np.float64)
-    p = v.sum(1) / max(m, 1) if given is None else np.clip(given.astype(np.float64), 0.02, 0.98)
+    p = np.clip(given.astype(np.float64), 0.02, 0.98)
     base, voice = math.log(prior / (1 - prior)), np.ones(m)
     for i in range(rounds):
         accuracy = np.clip((p @ v + prior) / (v.sum(0) + 1), 1e-4, 1 - 1e-4)
@@ -84,12 +84,8 @@ def label_model(votes: np.ndarray, prior: float, given: np.ndarray | None = None
             echo = cov / np.outer(sd, sd)
             voice = 1 / np.maximum(1.0, np.where(echo > 0.1, np.minimum(echo, 1), 0).sum(1))
         z = base + v @ (voice * (np.log(accuracy / (1 - accuracy)) - base))
-        if given is not None:
-            hit, slip = (p @ given + 1) / (p.sum() + 2), ((1 - p) @ given + 0.5) / ((1 - p).sum() + 5)
-            z += np.where(given > 0, math.log(hit / slip), math.log((1 - hit) / (1 - slip)))
-        else:
-            # Without labels, silence of all voters is the only sign of class 0.
-            z -= np.where(v.any(1), 0, 4)
+        hit, slip = (p @ given + 1) / (p.sum() + 2), ((1 - p) @ given + 0.5) / ((1 - p).sum() + 5)
+        z += np.where(given > 0, math.log(hit / slip), math.log((1 - hit) / (1 - slip)))
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if np.abs(new - p).max() < 1e-6 and i > rounds // 2:
             break

@@ -72,7 +72,9 @@ def test_label_model_tells_good_voters():
     y = r.random(2000) < 0.2
     votes = np.stack([np.where(y, r.random(2000) < 0.8, r.random(2000) < 0.02) for _ in range(4)] + [r.random(2000) < 0.3], axis=1)
     votes = np.c_[votes, votes[:, 0]]  # an echo
-    p, accuracy, voice = toxicity.label_model(votes, 0.2)
+    given = (y ^ (r.random(2000) < 0.04)).astype(int)
+    p, accuracy, voice = toxicity.label_model(votes, 0.2, given)
+    assert ((p > 0.5) == y).mean() > ((given > 0) == y).mean()
     assert ((p > 0.5) == y).mean() > 0.97
     assert accuracy[:4].min() > 0.7 and accuracy[4] < 0.4
     assert voice[0] < 0.8 < voice[1]
