@@ -67,7 +67,7 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     comp = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     own = nodes.select("id", "year").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = own.groupBy("component").agg(F.min(F.struct(F.col("year").isNotNull().alias("k"), "year", "id")).alias("first"))
-    numbered = first.select("component", (F.row_number().over(Window.orderBy("first")) - 1).alias("cluster"))
+    numbered = first.select("component", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("cluster"))
     return own.join(numbered, "component").select("id", "cluster")
 
 
@@ -173,7 +173,7 @@ def expand_in_order(scored: DataFrame, edges: DataFrame, decay: float = DECAY) -
                     score[b] = score[a] * decay
         return pd.DataFrame({"id": list(score), "score": [round(x, DIGITS) for x in score.values()]})
 
-    return edges.groupBy(F.lit(1)).applyInPandas(fold, "id long, score double")
+    return edges.select("ord", "src", "dst", F.lit(1).alias("one")).groupBy("one").applyInPandas(fold, "id long, score double")
 
 
 def evidence(scored: DataFrame, links: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

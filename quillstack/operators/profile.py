@@ -41,8 +41,8 @@ def recent(papers: DataFrame, k: int = 5) -> DataFrame:
 def topic_counts(papers: DataFrame, *cols: str) -> DataFrame:
     """(term, n_occurrences, n_documents) over the text columns; spellings in different case are apart."""
     text = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in cols])
-    tokens = papers.select(F.explode(F.transform(topic_tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("i")))).alias("t"), F.monotonically_increasing_id().alias("row"))
-    per = tokens.groupBy("row", "t.term").agg(F.count("*").alias("n"))
+    rows = papers.select(topic_tokens(text).alias("tokens"), F.monotonically_increasing_id().alias("row"))
+    per = rows.select("row", F.explode("tokens").alias("term")).groupBy("row", "term").agg(F.count("*").alias("n"))
     return per.groupBy("term").agg(F.sum("n").alias("n_occurrences"), F.count("*").alias("n_documents"))
 
 

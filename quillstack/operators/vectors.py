@@ -48,14 +48,15 @@ def neighbours(vectors: DataFrame, k: int = 3, id_col: str = "id", vec_col: str
     blocks = max(1, -(-n // block))
     rows = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = rows.withColumn("other", every), rows.select("id", "v", every.alias("own_"), F.col("own").alias("other_"))
+    left = rows.withColumn("other", every)
+    right = rows.toDF("id_", "v_", "other_").withColumn("own_", every)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {"a": [], "b": [], "sim": []}
         if len(a) and len(b):
-            x, y = np.array(a["v"].to_list()), np.array(b["v"].to_list())
+            x, y = np.array(a["v"].to_list()), np.array(b["v_"].to_list())
             unit = lambda m: m / np.where((s := np.sqrt((m * m).sum(1))) == 0, 1.0, s)[:, None]
-            ia, ib, y = a["id"].to_numpy(), b["id"].to_numpy(), unit(y)
+            ia, ib, y = a["id"].to_numpy(), b["id_"].to_numpy(), unit(y)
             for at in range(0, len(x), 512):
                 s = np.round(unit(x[at : at + 512]) @ y.T, 6) + 0.0
                 keep = np.lexsort((np.broadcast_to(ib, s.shape), -s))[:, :k]

@@ -192,7 +192,7 @@ def vector_topk_papers(spark, d):
     return vector_topk(vectors(spark, d), vector_of(spark, d), 30)
 
 
-@query(f"with {cosine_sql()}, some as (select * from near where id % 2 = 1) {top_sql('some', 'sim', 30)}")
+@query(f"with {cosine_sql()}, few as (select * from near where id % 2 = 1) {top_sql('few', 'sim', 30)}")
 def vector_topk_restricted(spark, d):
     return vector_topk(vectors(spark, d), vector_of(spark, d), 30, allowed=papers(spark, d).filter("id % 2 = 1").select("id"))
 
@@ -246,7 +246,7 @@ def stage1_candidates(spark, d):
 
 
 @query(f"""with {PX}, ok as (select * from indexed where {_ALLOWED}), {bm25_sql('ok', ['thing'], 'index_text')}, a as ({top_sql('scored', 'score', 30)}), {cosine_sql()},
-some as (select * from near where {_ALLOWED}), b as ({top_sql('some', 'sim', 30)}), lists as (select id, rank from a union all select id, rank from b), fused as ({_RRF}) select * from fused order by score desc, id limit 20""")
+few as (select * from near where {_ALLOWED}), b as ({top_sql('few', 'sim', 30)}), lists as (select id, rank from a union all select id, rank from b), fused as ({_RRF}) select * from fused order by score desc, id limit 20""")
 def stage1_candidates_exact(spark, d):
     p = indexed(spark, d)
     return plan.candidates(p, vectors(spark, d), _asked(spark, d), p.filter("year >= 2004").select("id"), parity=False)
@@ -287,7 +287,7 @@ def global_chunk_search(spark, d):
     return plan.global_search(chunks(spark, d), _chunk_vectors(spark, d), _asked(spark, d), 5)
 
 
-@query(f"with {C}, {bm25_sql('chunks', ['thing'])}, deep as (select * from scored order by score desc, id limit 200), some as (select id, score from deep where id % 2 = 0) {top_sql('some', 'score', 30)}")
+@query(f"with {C}, {bm25_sql('chunks', ['thing'])}, deep as (select * from scored order by score desc, id limit 200), few as (select id, score from deep where id % 2 = 0) {top_sql('few', 'score', 30)}")
 def overfetch_filter(spark, d):
     c = chunks(spark, d)
     return search.over_fetch(search.bm25(c, ["thing"]), c.filter("id % 2 = 0").select("id"))
@@ -349,7 +349,7 @@ def index_text(spark, d):
     return indexed(spark, d).select("id", "index_text")
 
 
-_TAGGED = "list_transform(string_split(topics, ';'), x -> substr(trim(regexp_replace(x, ' +', ' ', 'g')), 1, 48))"
+_TAGGED = "list_transform(string_split(topics, ';'), lambda x: substr(trim(regexp_replace(x, ' +', ' ', 'g')), 1, 48))"
 _NORM = f"select id, (select array_to_string(list(t order by pos), '; ') from (select min(pos) as pos, arg_min(t, pos) as t from (select unnest({_TAGGED}) as t, unnest(range(1, 1 + len({_TAGGED}))) as pos) where t <> '' group by lower(t))) as topics from papers"
 
 
@@ -358,7 +358,7 @@ def normalize_topics(spark, d):
     return papers(spark, d).select("id", X.normalize_topics("topics").alias("topics"))
 
 
-@query(f"with {P} select id, array_to_string(list_filter(list_transform(string_split(authors, ';'), x -> trim(x)), x -> x <> '')[1:3], '; ') || ' et al.' as authors from papers")
+@query(f"with {P} select id, array_to_string(list_filter(list_transform(string_split(authors, ';'), lambda x: trim(x)), lambda x: x <> '')[1:3], '; ') || ' et al.' as authors from papers")
 def format_authors(spark, d):
     return papers(spark, d).select("id", X.format_authors("authors").alias("authors"))
 
@@ -395,7 +395,7 @@ def names_of_urls(spark, d):
 
 
 @query("""select p_partkey, round(9 + least(sqrt(p_size) * 2.2, 24.0), 6) as cited, round(9 + least(case when p_size = 0 then 1 else p_size end, 60) / 3, 6) as by_chunks, round(1.1 + least(p_size, 28) / 5, 6) as value,
-round(6.5 * cbrt((1.1 + least(p_size, 28) / 5) * 0.75 / pi()), 6) as radius, round(8 + least(p_size, 24) * 0.9, 6) as flat, case when length(p_name) > 8 then substr(p_name, 1, 7) || '…' else p_name end as label, p_size >= 3 or p_type = 'ECONOMY' as shown,
+round(6.5 * cbrt((1.1 + least(p_size, 28) / 5) * 0.75 / pi()), 6) as radius, round(8 + least(p_size, 24) * 0.9, 6)::double as flat, case when length(p_name) > 8 then substr(p_name, 1, 7) || '…' else p_name end as label, p_size >= 3 or p_type = 'ECONOMY' as shown,
 round(case when p_size % 2 = 0 then 1 + (p_size / 50 - 0.55) * 8 else 1.6 end, 6) as width from part""")
 def view_sizes(spark, d):
     n = F.col("p_size")
@@ -453,7 +453,7 @@ def text_topics(spark, d):
     return spark.createDataFrame(profile.text_topics(profile.topic_counts(table(spark, d, "documents"), "text")), "term string, n_occurrences long")
 
 
-@query(f"""with {P}, t as (select id, unnest(list_transform(string_split(topics, ';'), x -> trim(x))) as tag, unnest(range(0, len(string_split(topics, ';')))) as pos from papers), f as (select id, tag, row_number() over (partition by id order by pos) as pos from t where tag <> '')
+@query(f"""with {P}, t as (select id, unnest(list_transform(string_split(topics, ';'), lambda x: trim(x))) as tag, unnest(range(0, len(string_split(topics, ';')))) as pos from papers), f as (select id, tag, row_number() over (partition by id order by pos) as pos from t where tag <> '')
 select arg_min(tag, (id, pos)) as tag, count(*) as n from f group by lower(tag) order by n desc, lower(tag) limit 16""")
 def user_tags(spark, d):
     return profile.user_tags(papers(spark, d))
@@ -716,9 +716,9 @@ def citation_edges(spark, d):
     return graph.citation_edges(resolved(spark, d))
 
 
-@query(f"with {RES} select case when direction = 'refs' then 'cites' else 'cited_by' end as relation, target as id from resolved where paper_id = 6 and target <> 6")
+@query(f"with {RES} select case when direction = 'refs' then 'cites' else 'cited_by' end as relation, target as id from resolved where paper_id = 10 and target <> 10")
 def library_neighbors(spark, d):
-    return graph.library_neighbors(resolved(spark, d), 6)
+    return graph.library_neighbors(resolved(spark, d), 10)
 
 
 @query(f"with {CIT} select direction, count(*) as n from cit where paper_id = 5 group by 1")
@@ -859,8 +859,8 @@ judged as (select case_id, case when bool_or(need_all) then bool_and(rank is not
 
 
 def _passages(spark, d, n=None):
-    """(case_id, paper_id): documents that hold a benchmark passage (its first n characters), met on the words of 12
-    characters that begin it, then verified."""
+    """(case_id, paper_id): documents that hold a benchmark passage (its first n characters). The cases are few
+    and fixed, so each document is tested against all of them in one scan."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), (F.col("text") if n is None else F.substring("text", 1, n)).alias("needle"))
     return b.join(table(spark, d, "documents").select("doc_id", "text"), F.contains("text", "needle")).select("case_id", F.col("doc_id").alias("paper_id"))
 
