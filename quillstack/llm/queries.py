@@ -63,11 +63,11 @@ def queries() -> dict:
 
 
 _OP2 = """
-with v as (select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
            where embedding is not null and vec_id is not null
-             and list_bool_and(list_transform(embedding, x -> coalesce(isfinite(cast(x as double)), false)))),
+             and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(cast(x as double)), false)))),
 q as (select vec_id as query_id, v as w from v where vec_id % 50 = 0),
-s as (select query_id, vec_id, cast(list_sum(list_transform(range(1, 1 + least(len(v), len(w))), i -> v[i] * w[i])) as bigint) as score
+s as (select query_id, vec_id, cast(list_sum(list_transform(range(1, 1 + least(len(v), len(w))), lambda i: v[i] * w[i])) as bigint) as score
       from q join v on vec_id <> query_id),
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rk, vec_id, score from s)
 select query_id, cast(rk as integer) as rank, vec_id, score from r where rk <= 5
@@ -82,7 +82,7 @@ f as (select l.host, bare from l join h on h.host = l.host where bare <> ''
       group by l.host, bare, pages having count(*) >= 5 and count(*) > 0.05 * pages),
 k as (select host, list(bare) as bp from f group by host),
 x as (select d.doc_id, d.source, d.text, string_split(d.text, chr(10)) as ls, coalesce(k.bp, cast([] as varchar[])) as bp from d left join k on k.host = d.host),
-y as (select doc_id, source, text, ls, list_filter(ls, z -> not list_contains(bp, trim(z, chr(32) || chr(9) || chr(13)))) as kept from x)
+y as (select doc_id, source, text, ls, list_filter(ls, lambda z: not list_contains(bp, trim(z, chr(32) || chr(9) || chr(13)))) as kept from x)
 select doc_id, source, cast(case when coalesce(text, '') = '' then 0 else len(ls) end as bigint) as n_lines,
        cast(case when coalesce(text, '') = '' then 0 else len(ls) - len(kept) end as bigint) as n_dropped,
        md5(coalesce(array_to_string(kept, chr(10)), '')) as kept_md5
