@@ -11,13 +11,16 @@ Defined results: null text is empty, and an empty text is its end token alone; r
 
 from __future__ import annotations
 
+import array
 import bisect
+import itertools
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +29,7 @@ from .common import cut
 
 CAPACITY, END = 4096, 1
 #: Words whose ids each worker keeps; bounds memory only.
-CACHE = 400_000
+CACHE = 600_000
 
 
 @dataclass
@@ -175,24 +178,42 @@ class WordEncoder:
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        import array
-
         return array.array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or not self.plain.fullmatch(text):
-            return self.whole(text)
-        found, memo = self.split.findall(text.lower()), self.memo
-        try:
-            return b"".join([memo[w] for w in found])
-        except KeyError:
-            if len(memo) > CACHE:
-                memo.clear()
-            long = {}
-            for w in set(found):
-                if w not in memo:
-                    (memo if len(w) < 64 else long)[w] = self.whole(w)
-            return b"".join([memo[w] if w in memo else long[w] for w in found])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Texts together, so that their new words make one call of the tokenizer."""
+        memo = self.memo
+        split = [None if "<|" in t or not self.plain.fullmatch(t) else self.split.findall(t.lower()) for t in texts]
+        new = {w for words in split if words for w in words if w not in memo}
+        long = self._learn(sorted(new)) if new else {}
+        out = []
+        for t, words in zip(texts, split):
+            if words is None:
+                out.append(self.whole(t))
+            elif long:
+                out.append(b"".join([memo[w] if w in memo else long[w] for w in words]))
+            else:
+                out.append(b"".join([memo[w] for w in words]))
+        if len(memo) > CACHE:  # words met early are the frequent ones
+            self.memo = dict(itertools.islice(memo.items(), CACHE // 3))
+        return out
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Keep the ids of words; those of unusual length are given back instead. Words joined by blanks stay apart."""
+        long = {}
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            got = self.tok.encode(" ".join(part), add_special_tokens=False)
+            number = np.array(got.word_ids, np.int64)
+            ids = np.array(got.ids, np.uint32)
+            ends = np.searchsorted(number, np.arange(len(part) + 1))
+            apart = number.max(initial=-1) == len(part) - 1
+            for i, w in enumerate(part):
+                (self.memo if len(w) < 64 else long)[w] = ids[ends[i] : ends[i + 1]].tobytes() if apart else self.whole(w)
+        return long
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -212,8 +233,9 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         enc, stop = encoder(path), end.to_bytes(4, "little")
         for b in batches:
             cols = [[], [], [], [], []]
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = enc.encode(t.as_py() or "") + stop
+            ids_of = (ids for at in range(0, b.num_rows, 64) for ids in enc.encode_all([t or "" for t in b.column(1).slice(at, 64).to_pylist()]))
+            for doc, ids in zip(b.column(0).to_pylist(), ids_of):
+                ids += stop
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for c, v in zip(cols, (doc, p, at // 4, len(part) // 4, zlib.crc32(part))):
