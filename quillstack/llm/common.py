@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 import numpy as np
+from pyspark.sql import SparkSession
 
 from quillstack.operators.components import components
 from quillstack.sources.shared import cut, shared_dir
 
-__all__ = ["components", "cut", "mix64", "shared_dir", "sliding_min"]
+__all__ = ["components", "cut", "mix64", "release", "shared_dir", "sliding_min"]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs that no DataFrame refers to any more, before more are made."""
+    for _ in range(2):  # what the first round frees may hold the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
