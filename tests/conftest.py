@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from quillstack.session import local_session, ship
 
-    session = local_session("8")
+    session = local_session("8", 4)
     session.sparkContext.setLogLevel("ERROR")
     ship(session)
     yield session
