@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.scalars import norm_doi, norm_name, norm_title
+from quillstack.sources.shared import cut
 
 from .components import components
 
@@ -159,21 +160,24 @@ def expand(scored: DataFrame, edges: DataFrame, decay: float = DECAY) -> DataFra
 
 
 def expand_in_order(scored: DataFrame, edges: DataFrame, decay: float = DECAY) -> DataFrame:
-    """As expand(), but edges(ord, src, dst) are read once in order and nodes scored on the way pass it on: a
-    sequential rule, so all edges go to one task. Only for graphs of the size of a library's."""
-    import pandas as pd
+    """As expand(), but edges(ord, src, dst) are read once in order, of equal ord by ends, and nodes scored on the way
+    pass it on. A node's score thus comes by its first edge to a node that was scored by an earlier one.
 
-    known = {r["id"]: r["score"] for r in scored.collect()}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        score = dict(known)
-        for s, d in pdf.sort_values("ord")[["src", "dst"]].itertuples(index=False):
-            for a, b in ((s, d), (d, s)):
-                if a in score and b not in score:
-                    score[b] = score[a] * decay
-        return pd.DataFrame({"id": list(score), "score": [round(x, DIGITS) for x in score.values()]})
-
-    return edges.select("ord", "src", "dst", F.lit(1).alias("one")).groupBy("one").applyInPandas(fold, "id long, score double")
+    Found by rounds of joins: nodes reached by an earlier edge than known, or with another score, offer their later
+    edges to their neighbours, until none changes. Every round is written to the shared folder.
+    """
+    e = edges.filter("src <> dst").select(F.struct("ord", "src", "dst").alias("at"))
+    both = cut(e.select("at", F.col("at.src").alias("a"), F.col("at.dst").alias("b")).union(e.select("at", "at.dst", "at.src")), "edges")
+    reached = cut(scored.select("id", F.lit(None).cast(both.schema["at"].dataType).alias("at"), "score"), "reached")
+    fresh = reached
+    while not fresh.isEmpty():
+        offers = both.join(fresh.select(F.col("id").alias("a"), F.col("at").alias("since"), "score"), "a").filter("since is null or at > since")
+        best = offers.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("at", (decay * F.col("score")).alias("score"))).alias("m"))
+        known = reached.select("id", F.struct("at", "score").alias("had"))
+        better = best.join(known, "id", "left").filter("had is null or m.at < had.at or (m.at = had.at and m.score <> had.score)")
+        fresh = cut(better.select("id", "m.at", "m.score"), "fresh")
+        reached = cut(reached.join(fresh.select("id"), "id", "left_anti").unionByName(fresh), "reached")
+    return reached.select("id", F.round("score", DIGITS).alias("score"))
 
 
 def evidence(scored: DataFrame, links: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

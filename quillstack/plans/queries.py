@@ -607,7 +607,7 @@ def graph_expand(spark, d):
 @query()
 def graph_expand_in_order(spark, d):
     g = kg(spark, d)
-    return graph.expand_in_order(graph.seeds(g.kg_nodes.filter("id < 50"), "red widget"), g.kg_edges.filter("src < 200").withColumn("ord", F.struct("src", "dst", "relation")).withColumn("ord", F.xxhash64("ord")))
+    return graph.expand_in_order(graph.seeds(g.kg_nodes, "red widget"), g.kg_edges.withColumn("ord", F.struct("src", "dst", "relation")).withColumn("ord", F.xxhash64("ord")))
 
 
 _EVIDENCE = f"""{_GROWN}, {L}, per as (select chunk_id, round(sum(score), 6) as score from links join grown on grown.id = links.id group by 1),

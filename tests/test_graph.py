@@ -158,3 +158,32 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from w").first()[0] == 300
+
+
+def in_order(scored, edges, decay=0.6):
+    score = dict(scored)
+    for _, s, d in sorted(edges):
+        for a, b in ((s, d), (d, s)):
+            if a in score and b not in score:
+                score[b] = score[a] * decay
+    return {i: round(x, 6) for i, x in score.items()}
+
+
+def test_expand_in_order_by_rounds(spark):
+    r = random.Random(8)
+    for n, m in ((40, 120), (30, 25), (12, 60)):
+        edges = [(r.randint(0, m), r.randrange(n), r.randrange(n)) for _ in range(m)]  # ties, loops, repeats
+        scored = [(0, 1.0), (1, 0.5)]
+        got = graph.expand_in_order(spark.createDataFrame(scored, "id long, score double"), spark.createDataFrame(edges, "ord long, src long, dst long"))
+        assert {x.id: x.score for x in got.collect()} == in_order(scored, edges)
+
+
+def test_expand_in_order_query_sees_the_whole_graph(spark):
+    from quillstack.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    g = queries.kg(spark, d)
+    edges = [tuple(x) for x in g.kg_edges.select(F.xxhash64(F.struct("src", "dst", "relation")), "src", "dst").collect()]
+    scored = [tuple(x) for x in graph.seeds(g.kg_nodes, "red widget").select("id", "score").collect()]
+    got = {x.id: x.score for x in queries.QUERIES["graph_expand_in_order"](spark, d).collect()}
+    assert got == in_order(scored, edges) and len(got) == g.kg_nodes.count()
