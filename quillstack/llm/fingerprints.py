@@ -4,8 +4,8 @@ A k-mer of code points is a closed syncmer when the smallest hash among its inne
 last place. The choice looks at the k-mer alone, so equal passages yield equal anchors wherever they stand.
 The fingerprint is a one-permutation sketch of the anchors' hashes: BINS bytes in hex, `ff` for an empty bin.
 
-Defined results: null text counts as empty; an empty text has an all-`ff` fingerprint; a text shorter than k has
-its whole self as only feature; equal texts have equal fingerprints; two empty fingerprints have likeness 1.
+Defined results: null text counts as empty; an empty text has an all-`ff` fingerprint; any other text without a
+closed syncmer (shorter than k, or than 2k - s and unlucky) has its whole self as only feature; equal texts have equal fingerprints; two empty fingerprints have likeness 1.
 """
 
 from __future__ import annotations
@@ -32,17 +32,22 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
+def _whole(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's whole self as its only feature."""
+    h = np.uint64(len(codes))
+    with np.errstate(over="ignore"):
+        for c in codes:
+            h = h * _P + c
+    return np.zeros(1, np.int64), mix64(np.array([h]))
+
+
 def syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """Start positions (code points) and 64-bit hashes of the closed syncmers of a text."""
     codes = _codes(text)
+    if not len(codes):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     if len(codes) < k:
-        if not len(codes):
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        h = np.uint64(len(codes))
-        with np.errstate(over="ignore"):
-            for c in codes:
-                h = h * _P + c
-        return np.zeros(1, np.int64), mix64(np.array([h]))
+        return _whole(codes)
     n, w = len(codes) - s + 1, k - s + 1
     h = codes[:n].copy()
     for i in range(1, s):
@@ -51,6 +56,8 @@ def syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]
     h = mix64(h)
     low = sliding_min(h, w)
     at = np.flatnonzero((h[: len(low)] == low) | (h[w - 1 :] == low))
+    if not len(at):
+        return _whole(codes)
     g = codes[at]
     for i in range(1, k):
         g *= _P

@@ -61,6 +61,18 @@ def test_anchor_rows(spark):
     assert {r.doc_id for r in got} == {1} and all(0 <= r.position <= 78 - 16 for r in got)
 
 
+def test_short_texts_have_features(spark):
+    """Texts of 16 to 25 characters need not hold a closed syncmer; they differ from each other and from empty ones."""
+    r = np.random.default_rng(11)
+    texts = ["".join(r.choice(list("abcdefgh "), n)) for n in range(15, 27) for _ in range(40)]
+    prints = {t: fingerprints.sketch(fingerprints.syncmers(t)[1]) for t in texts}
+    assert b"\xff" * 128 not in prints.values()
+    rows = [(2 * i, t) for i, t in enumerate(texts)] + [(2 * i + 1, "") for i in range(len(texts))]
+    got = rows_of(fingerprints.fingerprint_with_edits(frame(spark, rows)))
+    assert all(x["near_next"] < 1 for x in got)
+    assert {x.doc_id for x in fingerprints.anchors(frame(spark, rows)).collect()} == {i for i, t in rows if t}
+
+
 def brute_simhash(text):
     toks = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     grams = [b" ".join(toks[i : i + 3]) for i in range(max(1, len(toks) - 2))] if toks else []
