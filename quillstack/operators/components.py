@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.sources.shared import cut
+from quillstack.sources.shared import cut, discard
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating star contraction: every round rewires each node's larger, then smaller, neighbours to the
     smallest node around it, so path lengths shrink geometrically. Neighbour minima are partial aggregates;
     the joins back are plain equi-joins that adaptive execution can split when one node is a hub. Each round
-    is written to the shared folder. Null ends and self-loops are ignored; nodes without edges do not appear.
+    is written to the shared folder, and the rounds behind it are deleted. Null ends and self-loops are ignored; nodes without edges do not appear.
     """
     tidy = lambda df: df.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
@@ -30,7 +30,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b")))
-        edges = cut(tidy(small), "edges")
+        last, edges = edges, cut(tidy(small), "edges")
+        discard(last, large)
         after = state(edges)
         if after == before:
             break

@@ -6,19 +6,48 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, set[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """The folder that driver and executors share; one of our own only where none is configured and all run in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    What was written stays until discard() or sweep(), since whoever holds a DataFrame over it may read it again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*parts: DataFrame) -> None:
+    """Delete what cut() wrote for these DataFrames, once nothing reads it any more: the rounds behind an iteration."""
+    for df in parts:
+        _delete(df.sparkSession, df.written_to)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that cut() wrote in this application; DataFrames over it can't be read afterwards."""
+    for path in list(_written.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
