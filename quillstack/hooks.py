@@ -53,6 +53,22 @@ def lead_summary(text: str | None, most: int = 3, chars: int = 3500) -> str | No
     return " ".join(s.strip() for s in found[:most]) or None
 
 
+def map_text(f: Callable[[str | None], str | None]) -> Callable:
+    """A function of one text as a column function, an Arrow batch at a time; a text it fails on gets null."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return f(t)
+        except Exception:
+            return None
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t.as_py()) for t in texts], pa.string())
+
+    return run
+
+
 def dictionary_extractor(terms: dict[str, str]) -> Extractor:
     """Entities of a fixed list {name: type} found in a text, and that neighbours in it occur together."""
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions.scalars import norm_doi, norm_name, norm_title
-from quillstack.sources.shared import cut
+from quillstack.sources.shared import cut, discard
 
 from .components import components
+from .numbering import numbered
 
 GRAM, DIGITS = 12, 6
+# The timeline's width, and steps within a year, between lanes, and within a lane.
+X_SPAN, X_STEP, Y_LANE, Y_STEP = 240.0, 26, -110, -16
 
 
 def resolve_citations(citations: DataFrame, papers: DataFrame, parity: bool = False) -> DataFrame:
@@ -68,20 +71,20 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     comp = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     own = nodes.select("id", "year").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = own.groupBy("component").agg(F.min(F.struct(F.col("year").isNotNull().alias("k"), "year", "id")).alias("first"))
-    numbered = first.select("component", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("cluster"))
-    return own.join(numbered, "component").select("id", "cluster")
+    number = numbered(first, ["first"]).select("component", (F.col("place") - 1).alias("cluster"))
+    return own.join(number, "component").select("id", "cluster")
 
 
 def timeline_layout(nodes: DataFrame, default_year: int = 2024) -> DataFrame:
     """(id, cluster, x, y) of nodes(id, year, cluster): a lane per component, oldest first; x by year."""
-    n = nodes.withColumn("yr", F.coalesce("year", F.lit(default_year)))
+    n = nodes.select("id", "cluster", F.coalesce("year", F.lit(default_year)).alias("yr"))
     span = n.agg(F.min("yr").alias("lo"), F.greatest(F.max("yr") - F.min("yr"), F.lit(2)).alias("span"))
-    lanes = n.groupBy("cluster").agg(F.min("yr").alias("start"))
-    lanes = lanes.select("cluster", (F.row_number().over(Window.orderBy("start", "cluster")) - 1).alias("lane"))
-    n = n.join(lanes, "cluster").crossJoin(F.broadcast(span))
-    k = F.row_number().over(Window.partitionBy("lane").orderBy("yr", "id")) - 1
-    i = F.row_number().over(Window.partitionBy("lane", "yr").orderBy("id")) - 1
-    return n.select("id", "cluster", F.round((F.col("yr") - F.col("lo")) * 240.0 / F.col("span") + 26 * i, DIGITS).alias("x"), (-110 * F.col("lane") - 16 * k).cast("long").alias("y"))
+    lanes = numbered(n.groupBy("cluster").agg(F.min("yr").alias("start")), ["start", "cluster"], "lane").select("cluster", (F.col("lane") - 1).alias("lane"))
+    # One numbering by lane, year and id; places within a lane or a year of it count from its first one.
+    n = numbered(n.join(lanes, "cluster"), ["lane", "yr", "id"])
+    n = n.join(n.groupBy("lane").agg(F.min("place").alias("first")), "lane").join(n.groupBy("lane", "yr").agg(F.min("place").alias("early")), ["lane", "yr"]).crossJoin(F.broadcast(span))
+    k, i = F.col("place") - F.col("first"), F.col("place") - F.col("early")
+    return n.select("id", "cluster", F.round((F.col("yr") - F.col("lo")) * X_SPAN / F.col("span") + X_STEP * i, DIGITS).alias("x"), (Y_LANE * F.col("lane") + Y_STEP * k).cast("long").alias("y"))
 
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def dedup_nodes(raw: DataFrame, first_id: int = 1, least: int = 2) -> DataFrame:
     wins; names that normalise to fewer than two characters are refused."""
     n = raw.withColumn("key", norm_title("name")).filter(F.length("key") >= least)
     one = n.groupBy("key").agg(F.min_by(F.struct("name", "type", F.substring("desc", 1, 300).alias("desc")), "ord").alias("r"), F.min("ord").alias("ord"))
-    return one.select((F.row_number().over(Window.orderBy("ord")) - 1 + first_id).cast("long").alias("id"), F.col("key").alias("name"), F.col("r.name").alias("display"), F.col("r.type").alias("type"), F.col("r.desc").alias("desc"))
+    return numbered(one, ["ord"]).select((F.col("place") - 1 + first_id).alias("id"), F.col("key").alias("name"), F.col("r.name").alias("display"), F.col("r.type").alias("type"), F.col("r.desc").alias("desc"))
 
 
 def dedup_edges(raw: DataFrame) -> DataFrame:
@@ -169,14 +172,16 @@ def expand_in_order(scored: DataFrame, edges: DataFrame, decay: float = DECAY) -
     e = edges.filter("src <> dst").select(F.struct("ord", "src", "dst").alias("at"))
     both = cut(e.select("at", F.col("at.src").alias("a"), F.col("at.dst").alias("b")).union(e.select("at", "at.dst", "at.src")), "edges")
     reached = cut(scored.select("id", F.lit(None).cast(both.schema["at"].dataType).alias("at"), "score"), "reached")
-    fresh = reached
+    fresh = cut(reached, "fresh")
     while not fresh.isEmpty():
         offers = both.join(fresh.select(F.col("id").alias("a"), F.col("at").alias("since"), "score"), "a").filter("since is null or at > since")
         best = offers.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("at", (decay * F.col("score")).alias("score"))).alias("m"))
         known = reached.select("id", F.struct("at", "score").alias("had"))
         better = best.join(known, "id", "left").filter("had is null or m.at < had.at or (m.at = had.at and m.score <> had.score)")
-        fresh = cut(better.select("id", "m.at", "m.score"), "fresh")
-        reached = cut(reached.join(fresh.select("id"), "id", "left_anti").unionByName(fresh), "reached")
+        done, fresh = fresh, cut(better.select("id", "m.at", "m.score"), "fresh")
+        discard(done)
+        behind, reached = reached, cut(reached.join(fresh.select("id"), "id", "left_anti").unionByName(fresh), "reached")
+        discard(behind)
     return reached.select("id", F.round("score", DIGITS).alias("score"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions.scalars import index_text, is_blank, normalize_topics, strip
 
+from .numbering import numbered
+
 WINDOW, STEP = 1800, 1600
 
 
@@ -47,10 +49,10 @@ def sections(chunks: DataFrame, paper_id: int, most: int = 30) -> DataFrame:
 def window_chunks(docs: DataFrame, id_col: str = "id", text_col: str = "text", size: int = WINDOW, step: int = STEP) -> DataFrame:
     """(paper_id, ord, text) of unstructured text: whole up to `size` characters, else overlapping windows, stripped,
     empty ones dropped. The last window may lie wholly inside the one before."""
-    n = F.length(text_col)
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(step)))
-    cut = docs.filter(n > 0).select(F.col(id_col).alias("paper_id"), F.posexplode(starts).alias("ord", "at"), F.col(text_col).alias("t"))
-    return cut.select("paper_id", "ord", strip(F.substring("t", F.col("at") + 1, F.when(F.length("t") <= size, F.length("t")).otherwise(F.lit(size)))).alias("text")).filter("text <> ''")
+    # Pieces of one step each come in one pass over the text; a window is a piece and the start of the next.
+    pieces = F.when(F.length(text_col) <= size, F.array(text_col)).otherwise(F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))
+    cut = docs.select(F.col(id_col).alias("paper_id"), pieces.alias("p")).select("paper_id", F.posexplode(F.transform("p", lambda x, i: F.concat(x, F.substring(F.coalesce(F.get("p", i + 1), F.lit("")), 1, size - step)))).alias("ord", "t"))
+    return cut.select("paper_id", "ord", strip("t").alias("text")).filter("text <> ''")
 
 
 def dedup_files(arrivals: DataFrame, known: DataFrame | None = None, text_col: str = "text", id_col: str = "id") -> DataFrame:
@@ -134,7 +136,8 @@ def refresh_metadata(papers: DataFrame, found: DataFrame, force: bool = False) -
     return p.withColumn("status", status).withColumns(new).select(*papers.columns, "status")
 
 
-def new_ids(rows: DataFrame, table: DataFrame, order: list[str | Column]) -> DataFrame:
-    """rows with ids following the table's largest, in the given order. One ranking over the new rows."""
+def new_ids(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """rows with ids following the table's largest, in the order of the key, which tells rows apart. Only keys are ordered."""
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    return rows.withColumn("id", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(top)).withColumn("id", (F.col("id") + F.col("top")).cast("long")).drop("top")
+    ids = numbered(rows.select(*key), key).crossJoin(F.broadcast(top)).select(*key, (F.col("place") + F.col("top")).alias("id"))
+    return rows.join(ids, key)

@@ -21,9 +21,9 @@ def ingest(lib: Library, arrivals: DataFrame, embedder: hooks.Embedder | None =
     """
     spark = arrivals.sparkSession
     good = dedup_files(arrivals.filter("status = 'ok'"), lib.papers, "text", "path")
-    fresh = cut(new_ids(good.filter("status = 'ok'").select("path", "text", "sha256"), lib.papers, ["path"]), "arrivals")
+    fresh = cut(new_ids(good.filter("status = 'ok'").select("path", "text", "sha256"), lib.papers, ["path", "sha256"]), "arrivals")
     front = front_matter(fresh)
-    summary = F.udf(summarize, "string")("text") if summarize else F.lit("")
+    summary = hooks.map_text(summarize)("text") if summarize else F.lit("")
     papers = fresh.join(front.withColumnRenamed("paper_id", "id"), "id").select(
         "id", "title", "authors", X.extract_year("text").alias("year"), F.lit("").alias("venue"), X.extract_doi("text").alias("doi"), X.extract_abstract("text").alias("abstract"), summary.alias("summary"),
         F.lit("").alias("topics"), F.lit("").alias("notes"), "sha256", F.lit("local").alias("engine"), F.current_timestamp().alias("added_at"),
