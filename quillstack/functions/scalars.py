@@ -103,12 +103,25 @@ towards toward how what when where which can do does not into over under based p
 model models system systems framework frameworks""".split()
 
 
-def topic_tokens(c: Column | str) -> Column:
-    """Latin words of three characters and more, stop words out, then runs of 2 to 8 CJK characters."""
+_LATIN = "[A-Za-z][A-Za-z0-9+\\-.]{2,}"
+
+
+def raw_tokens(c: Column | str) -> Column:
+    """Latin words of three characters and more, then runs of 2 to 8 CJK characters."""
     text = blank_to_empty(c)
-    latin = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9+\\-.]{2,}"), 0), lambda w: F.regexp_replace(w, "^[.-]+|[.-]+$", ""))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.concat(F.filter(latin, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, F.lower(w))), F.regexp_extract_all(text, F.lit(f"[{CJK}]{{2,8}}"), 0))
+    return F.concat(F.regexp_extract_all(text, F.lit(_LATIN), 0), F.regexp_extract_all(text, F.lit(f"[{CJK}]{{2,8}}"), 0))
+
+
+def topic_term(token: Column | str) -> Column:
+    """A raw token without dots and dashes at its ends; null for stop words and what is short then."""
+    t = F.regexp_replace(_s(token), "^[.-]+|[.-]+$", "")
+    latin = F.ascii(t).between(1, 127)
+    return F.when(~latin | ((F.length(t) >= 3) & ~F.lower(t).isin(STOP_WORDS)), t)
+
+
+def topic_tokens(c: Column | str) -> Column:
+    """The terms of a text, in order: latin ones, then CJK ones."""
+    return F.filter(F.transform(raw_tokens(c), topic_term), lambda x: x.isNotNull())
 
 
 def safe_filename(c: Column | str) -> Column:

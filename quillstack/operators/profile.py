@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.functions.scalars import is_blank, parse_topics, topic_tokens
+from quillstack.functions.scalars import is_blank, parse_topics, raw_tokens, topic_term
 
 
 def library_stats(papers: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -41,8 +41,9 @@ def recent(papers: DataFrame, k: int = 5) -> DataFrame:
 def topic_counts(papers: DataFrame, *cols: str) -> DataFrame:
     """(term, n_occurrences, n_documents) over the text columns; spellings in different case are apart."""
     text = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in cols])
-    rows = papers.select(topic_tokens(text).alias("tokens"), F.monotonically_increasing_id().alias("row"))
-    per = rows.select("row", F.explode("tokens").alias("term")).groupBy("row", "term").agg(F.count("*").alias("n"))
+    rows = papers.select(raw_tokens(text).alias("tokens"), F.monotonically_increasing_id().alias("row"))
+    found = rows.select("row", F.explode("tokens").alias("token")).select("row", topic_term("token").alias("term")).filter("term is not null")
+    per = found.groupBy("row", "term").agg(F.count("*").alias("n"))
     return per.groupBy("term").agg(F.sum("n").alias("n_occurrences"), F.count("*").alias("n_documents"))
 
 

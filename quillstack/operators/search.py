@@ -1,8 +1,8 @@
 """Substring search ranked by BM25, fusion by reciprocal ranks, and the steps of the two-stage search.
 
 A quoted term of a trigram index is a case-folded substring; its frequency counts overlapping occurrences, and
-a row's length is its number of trigrams. No index is kept: a scan tests all terms in one pass, the corpus
-numbers of BM25 (rows, mean length, rows per term) are one aggregate over it.
+a row's length is its number of trigrams. No index is kept: one pass over the texts tests all terms of all queries and
+is written as a narrow table of lengths and frequencies, from which corpus numbers, scores and fallbacks follow.
 
 Every ranking is rounded before it is ordered and ends in the id, so that equal scores have one order.
 """
@@ -16,6 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstack.functions.scalars import pages_label, search_terms
+from quillstack.sources.shared import cut
+
 K1, B = 1.2, 0.75
 RRF_K, FETCH, POOL, OVER_FETCH = 60, 30, 20, 200
 BOOST, BOOST_MOST = 0.1, 5
@@ -32,33 +35,38 @@ def _java_quote(s: str) -> str:
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def bm25(rows: DataFrame, terms: Sequence[str], id_col: str = "id", text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
-    """(id, score): BM25 of the rows that hold a term. allowed(id) restricts the rows, not the corpus numbers."""
-    terms = [t.lower() for t in terms]
+def scan_terms(rows: DataFrame, asked: Sequence[tuple[Sequence[str], str]], id_col: str = "id", text_col: str = "text", like_cols: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """(id, keep..., d, f<q>_<i>, like<q>), written: of each row its length, for each query q the occurrences of its
+    terms i, and whether a column (of the text and like_cols) contains the query's whole text. asked: (terms, text)."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     d = F.greatest(F.length(F.coalesce(F.col(text_col), F.lit(""))) - 2, F.lit(0))
-    scanned = rows.select(F.col(id_col).alias("id"), d.alias("d"), *[occurrences(low, t).alias(f"f{i}") for i, t in enumerate(terms)])
-    stats = scanned.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    hit = reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(terms))], F.lit(False))
-    found = scanned.filter(hit)
+    cols = [low, *[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in like_cols]]
+    found = [occurrences(low, t.lower()).alias(f"f{q}_{i}") for q, (terms, _) in enumerate(asked) for i, t in enumerate(terms)]
+    likes = [reduce(lambda a, b: a | b, [F.contains(c, F.lit(text.lower())) for c in cols]).alias(f"like{q}") for q, (_, text) in enumerate(asked)]
+    return cut(rows.select(F.col(id_col).alias("id"), *keep, d.alias("d"), *found, *likes), "terms")
+
+
+def scores(scan: DataFrame, terms: Sequence[str], q: int = 0, allowed: DataFrame | None = None) -> DataFrame:
+    """(id, score): BM25 of a scan's rows that hold a term of query q. allowed(id) restricts rows, not corpus numbers."""
+    f = [F.col(f"f{q}_{i}") for i in range(len(terms))]
+    stats = scan.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), *[F.count_if(x > 0).alias(f"n{i}") for i, x in enumerate(f)])
+    found = scan.filter(reduce(lambda a, b: a | b, [x > 0 for x in f], F.lit(False)))
     if allowed is not None:
         found = found.join(allowed.select(F.col(allowed.columns[0]).alias("id")), "id", "left_semi")
     found = found.crossJoin(F.broadcast(stats))  # one row of corpus numbers
 
-    def part(i: int) -> Column:
-        f = F.col(f"f{i}")
+    def part(i: int, x: Column) -> Column:
         idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.col("mean")))).otherwise(0.0)
+        return F.when(x > 0, idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("d") / F.col("mean")))).otherwise(0.0)
 
-    score = reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))], F.lit(0.0))
+    score = reduce(lambda a, b: a + b, [part(i, x) for i, x in enumerate(f)], F.lit(0.0))
     return found.select("id", F.round(score, DIGITS).alias("score"))
 
 
-def like_fallback(rows: DataFrame, query: str, k: int, id_col: str = "id", *cols: str) -> DataFrame:
-    """(id, score) of the first k rows, by id, in which a column contains the query; scores are 0."""
-    test = reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(query.lower())) for c in cols])
-    return rows.filter(test).orderBy(id_col).limit(k).select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"))
+def bm25(rows: DataFrame, terms: Sequence[str], id_col: str = "id", text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
+    """(id, score): BM25 of the rows that hold a term. allowed(id) restricts the rows, not the corpus numbers."""
+    return scores(scan_terms(rows, [(terms, "")], id_col, text_col), terms, 0, allowed)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -67,29 +75,37 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return top.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))  # over k rows
 
 
-def phrase_topk(rows: DataFrame, query: str, k: int = FETCH, id_col: str = "id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
-    """The whole query as one phrase; rows that merely contain it where the phrase has no hit."""
-    return _with_fallback(rows, [query] if len(query) >= 3 else [], query, k, id_col, text_col, [text_col, *([title_col] if title_col else [])], None)
-
-
-def terms_topk(rows: DataFrame, query: str, k: int = FETCH, id_col: str = "id", text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
-    """Any term of the query."""
-    from quillstack.functions.scalars import search_terms
-
-    return _with_fallback(rows, search_terms(query), query, k, id_col, text_col, [text_col], allowed)
+def phrase(query: str) -> list[str]:
+    """The whole query as one term, if it is long enough for one."""
+    return [query] if len(query) >= 3 else []
 
 
-def _with_fallback(rows, terms, query, k, id_col, text_col, cols, allowed) -> DataFrame:
-    base = rows if allowed is None else rows.join(allowed.select(F.col(allowed.columns[0]).alias(id_col)), id_col, "left_semi")
-    other = like_fallback(base, query, k, id_col, *cols)
+def lexical_topk(scan: DataFrame, terms: Sequence[str], q: int = 0, k: int = FETCH, allowed: DataFrame | None = None) -> DataFrame:
+    """(id, score, rank): the k best rows of query q; where no term has a hit, the first k rows, by id, that contain
+    the query's text, with score 0."""
+    other = scan.filter(f"like{q}").select("id")
+    if allowed is not None:
+        other = other.join(allowed.select(F.col(allowed.columns[0]).alias("id")), "id", "left_semi")
+    other = other.orderBy("id").limit(k).select("id", F.lit(0.0).alias("score"))
     if not terms:
         return ranked(other, k)
-    first = bm25(rows, terms, id_col, text_col, allowed).orderBy(F.desc("score"), "id").limit(k)
+    first = scores(scan, terms, q, allowed).orderBy(F.desc("score"), "id").limit(k)
     # The fallback's rows pass only if the first list is empty; both are at most k rows.
     none = first.agg(F.count("*").alias("hits")).filter("hits = 0").select(F.lit(1).alias("go"))
     return ranked(first.unionByName(other.crossJoin(F.broadcast(none)).drop("go")), k)
 
 
+def phrase_topk(rows: DataFrame, query: str, k: int = FETCH, id_col: str = "id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
+    """The whole query as one phrase; rows that merely contain it where the phrase has no hit."""
+    scan = scan_terms(rows, [(phrase(query), query)], id_col, text_col, [title_col] if title_col else [])
+    return lexical_topk(scan, phrase(query), 0, k)
+
+
+def terms_topk(rows: DataFrame, query: str, k: int = FETCH, id_col: str = "id", text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
+    """Any term of the query."""
+    return lexical_topk(scan_terms(rows, [(search_terms(query), query)], id_col, text_col), search_terms(query), 0, k, allowed)
+
+
 def rrf(lists: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
     """(id, score): sum of 1 / (k + rank) over ranked lists of (id, rank)."""
     every = reduce(DataFrame.unionByName, [x.select("id", "rank") for x in lists])
@@ -140,8 +156,6 @@ def first_per_paper(chunks: DataFrame, k: int) -> DataFrame:
 
 def hit_cards(hits: DataFrame, papers: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits (paper_id, chunk_id, score, matched) with what a result list shows."""
-    from quillstack.functions.scalars import pages_label
-
     p = papers.select(F.col("id").alias("paper_id"), "title", "year", "summary", "topics")
     c = chunks.select(F.col("id").alias("chunk_id"), "section", "page_start", "page_end", "text")
     return hits.join(p, "paper_id").join(c, "chunk_id").select(

@@ -14,13 +14,11 @@ BLOCK = 4096
 
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:
-    """Cosine to a given vector as one flat expression, so that it is compiled with the rest of the stage.
-    A norm of zero counts as one; a vector of another length gives null."""
-    x = [F.get(vector, F.lit(i)).cast("double") for i in range(len(query))]
-    dot, sq = F.lit(0.0), F.lit(0.0)
-    for xi, qi in zip(x, query):
-        dot, sq = dot + xi * F.lit(float(qi)), sq + xi * xi
-    norm = float(np.sqrt(sum(float(q) ** 2 for q in query))) or 1.0
+    """Cosine to a given vector. A norm of zero counts as one; a vector of another length gives null."""
+    x, q = vector.cast("array<double>"), F.array(*[F.lit(float(v)) for v in query])
+    dot = F.aggregate(F.zip_with(x, q, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    sq = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
+    norm = float(np.sqrt(sum(float(v) ** 2 for v in query))) or 1.0
     return F.when(F.size(vector) == len(query), dot / (F.when(sq == 0, 1.0).otherwise(F.sqrt(sq)) * F.lit(norm)))
 
 

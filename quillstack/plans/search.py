@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstack import hooks
+from quillstack.functions.scalars import index_text, search_terms
 from quillstack.operators import search as S
 from quillstack.operators.vectors import vector_topk
+from quillstack.sources.shared import cut
 
 #: A query and its vector, or None without an embedder.
 Variant = tuple[str, Sequence[float] | None]
@@ -26,9 +28,10 @@ def candidates(papers: DataFrame, vectors: DataFrame | None, asked: list[Variant
     parity filters after the lists are cut to their length, else each list holds allowed papers only.
     """
     rows = papers if parity or allowed is None else papers.join(allowed, "id", "left_semi")
+    scan = S.scan_terms(rows, [(S.phrase(text), text) for text, _ in asked], "id", "index_text", ["title"])
     lists = []
-    for text, vector in asked:
-        lists.append(S.phrase_topk(rows, text, S.FETCH, "id", "index_text", "title"))
+    for q, (text, vector) in enumerate(asked):
+        lists.append(S.lexical_topk(scan, S.phrase(text), q))
         if vector is not None and vectors is not None:
             lists.append(vector_topk(vectors, vector, S.FETCH, allowed=None if parity else allowed))
     fused = S.rrf(lists)
@@ -37,12 +40,18 @@ def candidates(papers: DataFrame, vectors: DataFrame | None, asked: list[Variant
     return fused.orderBy(F.desc("score"), "id").limit(pool)
 
 
+def scan_chunks(chunks: DataFrame, asked: list[Variant]) -> DataFrame:
+    """One pass over the chunks for all variants."""
+    return S.scan_terms(chunks, [(search_terms(text), text) for text, _ in asked], keep=["paper_id"])
+
+
 def chunk_hits(chunks: DataFrame, vectors: DataFrame | None, asked: list[Variant], chosen: DataFrame) -> DataFrame:
     """(paper_id, id, score): chunks of the chosen papers, fused over all variants."""
-    inside = chunks.join(chosen.select(F.col("id").alias("paper_id")), "paper_id", "left_semi").select("id", "paper_id")
+    scan = scan_chunks(chunks, asked)
+    inside = scan.join(chosen.select(F.col("id").alias("paper_id")), "paper_id", "left_semi").select("id", "paper_id")
     lists = []
-    for text, vector in asked:
-        lists.append(S.terms_topk(chunks, text, S.FETCH, allowed=inside.select("id")))
+    for q, (text, vector) in enumerate(asked):
+        lists.append(S.lexical_topk(scan, search_terms(text), q, allowed=inside.select("id")))
         if vector is not None and vectors is not None:
             lists.append(vector_topk(vectors, vector, S.FETCH, allowed=inside.select("id")))
     return S.rrf(lists).join(inside, "id").select("paper_id", "id", "score")
@@ -50,23 +59,23 @@ def chunk_hits(chunks: DataFrame, vectors: DataFrame | None, asked: list[Variant
 
 def two_stage(papers, chunks, paper_vectors, chunk_vectors, asked: list[Variant], k: int = 5, allowed: DataFrame | None = None, parity: bool = True) -> DataFrame:
     """(paper_id, chunk_id, score, matched): max(2k, 8) papers by their best chunk."""
-    chosen = candidates(papers, paper_vectors, asked, allowed, parity=parity)
+    # A list of candidates that later steps read again and again.
+    chosen = cut(candidates(papers, paper_vectors, asked, allowed, parity=parity), "candidates")
     return S.aggregate_papers(chunk_hits(chunks, chunk_vectors, asked, chosen), max(2 * k, 8))
 
 
 def global_search(chunks: DataFrame, vectors: DataFrame | None, asked: list[Variant], k: int = 5, allowed: DataFrame | None = None) -> DataFrame:
     """(paper_id, chunk_id, score, matched): over all chunks, the first of each paper."""
-    inside = None if allowed is None else chunks.join(allowed.select(F.col("id").alias("paper_id")), "paper_id", "left_semi").select("id")
+    scan = scan_chunks(chunks, asked)
+    inside = None if allowed is None else scan.join(allowed.select(F.col("id").alias("paper_id")), "paper_id", "left_semi").select("id")
     lists = []
-    for text, vector in asked:
-        if inside is None:
-            lists.append(S.terms_topk(chunks, text, S.FETCH))
-        else:
-            lists.append(S.over_fetch(S.terms_topk(chunks, text, S.OVER_FETCH).select("id", "score"), inside))
+    for q, (text, vector) in enumerate(asked):
+        found = S.lexical_topk(scan, search_terms(text), q, S.FETCH if inside is None else S.OVER_FETCH)
+        lists.append(found if inside is None else S.over_fetch(found.select("id", "score"), inside))
         if vector is not None and vectors is not None:
             near = vector_topk(vectors, vector, S.FETCH if inside is None else S.OVER_FETCH).select("id", F.col("sim").alias("score"))
             lists.append(S.over_fetch(near, inside))
-    pool = S.rrf(lists).orderBy(F.desc("score"), "id").limit(S.POOL).join(chunks.select("id", "paper_id"), "id")
+    pool = S.rrf(lists).orderBy(F.desc("score"), "id").limit(S.POOL).join(scan.select("id", "paper_id"), "id")
     if allowed is not None:
         pool = pool.join(allowed.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
     first = S.first_per_paper(pool.select("paper_id", "id", "score"), k)
@@ -102,8 +111,6 @@ def search(spark: SparkSession, lib, query: str, k: int = 5, embedder=None, rera
 
 
 def with_index_text(papers: DataFrame) -> DataFrame:
-    from quillstack.functions.scalars import index_text
-
     return papers.withColumn("index_text", index_text("title", "authors", "topics", "abstract", "summary"))
 
 
