@@ -40,7 +40,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 _PAPER = [
     "doc_id as id", "substr(text, 1, 80) as title", "concat('Author ', doc_id % 17, '; Writer ', doc_id % 5, '; Reader ', doc_id % 3, '; Checker ', doc_id % 2) as authors",
     "case when doc_id % 10 = 0 then cast(null as int) else cast(2000 + doc_id % 25 as int) end as year", "source as venue", "case when doc_id % 4 = 0 then concat('10.1000/X', doc_id % 50) else '' end as doi",
-    "substr(text, 1, 1200) as abstract", "case when doc_id % 3 = 0 then '' else substr(text, 1, 300) end as summary", "concat(lang, '; ', upper(source), ';  ', source, ' ;', lang, ' tag ', doc_id % 6) as topics",
+    "text as abstract", "case when doc_id % 3 = 0 then '' else substr(text, 1, 300) end as summary", "concat(lang, '; ', upper(source), ';  ', source, ' ;', lang, ' tag ', doc_id % 6) as topics",
     "case when doc_id % 7 = 0 then 'note' end as notes",
 ]
 P = f"papers as (select {', '.join(_PAPER)} from documents)"
@@ -192,7 +192,7 @@ def vector_topk_papers(spark, d):
     return vector_topk(vectors(spark, d), vector_of(spark, d), 30)
 
 
-@query(f"with {cosine_sql()}, few as (select * from near where id % 2 = 1) {top_sql('few', 'sim', 30)}")
+@query(f"with {cosine_sql()}, few as (select * from near where id % 2 = 1 and id in (select doc_id from documents)) {top_sql('few', 'sim', 30)}")
 def vector_topk_restricted(spark, d):
     return vector_topk(vectors(spark, d), vector_of(spark, d), 30, allowed=papers(spark, d).filter("id % 2 = 1").select("id"))
 
@@ -363,7 +363,7 @@ def format_authors(spark, d):
     return papers(spark, d).select("id", X.format_authors("authors").alias("authors"))
 
 
-_DOI_TEXT = "case doc_id % 5 when 0 then concat(substr(text, 1, 50), ' doi: 10.1234/ab-', doc_id, ').') when 1 then concat('see arXiv:', 2000 + doc_id % 25, '.', 10000 + doc_id, 'v2') when 2 then concat('published in ', 1950 + doc_id % 90, ' ', substr(text, 1, 20)) else substr(text, 1, 100) end"
+_DOI_TEXT = "case doc_id % 5 when 0 then concat('doi: 10.1234/ab-', doc_id, ').', text) when 1 then concat('see arXiv:', 2000 + doc_id % 25, '.', 10000 + doc_id, 'v2 ', text) when 2 then concat('published in ', 1950 + doc_id % 90, ' ', text) else text end"
 
 
 @query(f"""with t as (select doc_id, {_DOI_TEXT} as t from documents),
@@ -673,10 +673,10 @@ def concept_search(spark, d):
     return graph.concept_search(kg(spark, d).kg_nodes, " Ring").select("id", "display")
 
 
-@query(f"with {L} select distinct paper_id from links join kg_chunks on kg_chunks.id = links.chunk_id where links.id < 10")
+@query(f"with {L} select distinct paper_id from links join kg_chunks on kg_chunks.id = links.chunk_id where paper_id is not null")
 def paper_options(spark, d):
     g = kg(spark, d)
-    n = graph.entity_counts(g.kg_chunk_links, g.chunks).filter("id < 10")
+    n = graph.entity_counts(g.kg_chunk_links, g.chunks)
     return n.select(F.explode("paper_ids").alias("paper_id")).distinct().orderBy("paper_id")
 
 
@@ -744,13 +744,14 @@ def connected_components(spark, d):
     return graph.components(e.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select("node", "component")
 
 
-_CL = f"""{_REACH}, {P}, n as (select p.id, year, coalesce(component, p.id) as component from papers p left join comp on comp.node = p.id),
+_CL = f"""{_REACH.replace("both_ as (select src, dst from edges union select dst, src from edges)", "own as (select src, dst from edges where src in (select doc_id from documents) and dst in (select doc_id from documents)), both_ as (select src, dst from own union select dst, src from own)")}, {P}, n as (select p.id, year, coalesce(component, p.id) as component from papers p left join comp on comp.node = p.id),
 ranked as (select *, row_number() over (order by year nulls first, id) as place from n), firsts as (select component, min(place) as f from ranked group by 1), num as (select component, row_number() over (order by f) - 1 as cluster from firsts),
 clustered as (select n.id, n.year, cluster from n join num on num.component = n.component)"""
 
 
 def _clusters(spark, d):
-    return graph.clusters(papers(spark, d), similarity_edges(vectors(spark, d), threshold=0.35).join(papers(spark, d).select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    p = papers(spark, d)
+    return graph.clusters(p, graph.induced(similarity_edges(vectors(spark, d), threshold=0.35), p).select("src", "dst"))
 
 
 @query(f"{_CL} select id, cluster from clustered")
@@ -775,7 +776,7 @@ def visible_papers(spark, d):
     return graph.visible_papers(papers(spark, d), None, 2005, 2020, "Writer 2", "SRC").select("id")
 
 
-@query(f"with {_EDGES} select src, dst, weight from edges where src % 3 <> 0 and dst % 3 <> 0")
+@query(f"with {_EDGES} select src, dst, weight from edges where src % 3 <> 0 and dst % 3 <> 0 and src in (select doc_id from documents) and dst in (select doc_id from documents)")
 def edge_visibility(spark, d):
     return graph.induced(similarity_edges(vectors(spark, d), threshold=0.35), papers(spark, d).filter("id % 3 <> 0")).select("src", "dst", "weight")
 
@@ -887,9 +888,9 @@ def eval_titles(spark, d):
     return evaluate.resolve_titles(spark.createDataFrame([("a", "Thing"), ("b", "no such title")], "case_id string, pattern string"), papers(spark, d))
 
 
-@query("select round(median(value), 6) as median, round((list_sort(list(value)))[greatest(1, cast(floor(0.95 * count(*)) as bigint))], 6) as p95 from events where event_id < 1000")
+@query("select round(median(value), 6) as median, round((list_sort(list(value)))[greatest(1, cast(floor(0.95 * count(*)) as bigint))], 6) as p95 from events")
 def eval_latency(spark, d):
-    return evaluate.latency(table(spark, d, "events").filter("event_id < 1000"), "value")
+    return evaluate.latency(table(spark, d, "events"), "value")
 
 
 # ---- events
