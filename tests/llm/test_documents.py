@@ -293,7 +293,7 @@ def test_packing_plan():
                 bins[bins.index(max(fit))] += n
             else:
                 bins.append(n)
-        assert -(-sum(items) // cap) <= plan.sequences <= len(bins) + 1
+        assert -(-sum(items) // cap) <= plan.sequences <= len(bins)
 
 
 def test_packing(spark):
@@ -319,3 +319,44 @@ def test_packing(spark):
                 assert o == at
                 at += n
             assert at <= 4096
+
+
+def test_anchors_by_definition():
+    """Anchors are the places of least hash of some string, with all strings in which they are it."""
+    r = np.random.default_rng(1)
+    for t in range(120):
+        kind = ["few", "many", "again"][t % 3]
+        n = int(r.integers(0, 400))
+        data = bytes(r.choice([97, 98], n).astype(np.uint8)) if kind == "few" else r.bytes(n) if kind == "many" else (b"Is onhe. " * 50)[:n]
+        length, k = (100, 16) if t % 2 else (30, 8)
+        x, h, lo, hi = substrings.anchors_of(data, length, k)
+        every, want = substrings._hashes(data, k).tolist() if n >= length else [], defaultdict(set)
+        for p in range(n - length + 1):
+            low = min(every[p : p + length - k + 1])
+            for o in range(length - k + 1):
+                if every[p + o] == low:
+                    want[p + o].add(o)
+        assert x.tolist() == sorted(want) and h.tolist() == [every[p] for p in sorted(want)]
+        for p, a, z in zip(x.tolist(), lo.tolist(), hi.tolist()):
+            assert want[p] <= set(range(a, z + 1)) and (kind != "many" or len(want[p]) == z + 1 - a)
+
+
+@pytest.mark.parametrize("frequent, held", [(2, 50_000), (10**9, 5)])
+def test_shared_passage(spark, monkeypatch, frequent, held):
+    """A passage that stands in every document, at all distances from others, copies of them, and a passage said again and
+    again in one, whether its anchors are known as frequent or not."""
+    monkeypatch.setattr(substrings, "FREQUENT", frequent)
+    monkeypatch.setattr(substrings, "HELD", held)
+    r = np.random.default_rng(7)
+    word = lambda n: "".join(r.choice(list("abcdefghij klmnop\x00"), n))
+    passage, line = word(260), "Is onhe. "
+    rows = [(i, word(int(r.integers(0, 200))) + passage[: int(r.integers(90, 261))] + word(int(r.integers(0, 150)))) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(0, 60, 7)] + [(200, line * 90), (201, "x" + line * 40 + passage)]
+    want = brute_removed(rows, 100)
+    got = rows_of(substrings.remove_repeats(frame(spark, rows), batch=50))
+    for x in got:
+        gone = np.zeros(len(dict(rows)[x["doc_id"]].encode()), bool)
+        for s in x["spans"]:
+            gone[s["s"] : s["e"]] = True
+        assert (gone == want[x["doc_id"]]).all(), x["doc_id"]
+    assert len(got) == len(rows)
