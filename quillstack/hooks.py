@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -146,12 +146,38 @@ GLOSSARY = (
 )
 
 
+#: Entries in the order in which they speak: those with the longest anchor first.
+_ENTRIES = tuple(sorted(GLOSSARY, key=lambda e: -max(map(len, e[0]))))
+
+
+def glossary_column(query: Column, most: int = 4) -> Column:
+    """Terms of the glossary's entries that a query touches, longest anchors first, those not in it already."""
+    q = F.lower(F.trim(F.coalesce(query, F.lit(""))))
+    entries = F.array(*[F.array(*[F.lit(t) for t in (*latin, *cjk)]) for cjk, latin in _ENTRIES])
+    touched = F.flatten(F.filter(entries, lambda e: F.exists(e, lambda t: F.contains(q, F.lower(t)))))
+    fresh = F.array_distinct(F.filter(touched, lambda t: ~F.contains(q, F.lower(t))))
+    return F.when(q != "", F.slice(fresh, 1, most)).otherwise(F.array().cast("array<string>"))
+
+
+def expand_column(query: Column, variants: Column | None = None, most: int = 5) -> Column:
+    """The query, glossary terms, and a rewriter's variants, each once and none blank."""
+    parts = [F.array(query), glossary_column(query), *([F.coalesce(variants, F.array().cast("array<string>"))] if variants is not None else [])]
+    return F.slice(F.array_distinct(F.filter(F.concat(*parts), lambda v: F.trim(v) != "")), 1, most)
+
+
+def variants_column(answer: Column, query: Column, most: int = 4) -> Column:
+    """Up to three variants of a model's JSON array answer with the glossary's terms; null if there are none."""
+    given = F.from_json(F.regexp_extract(F.coalesce(answer, F.lit("")), "(?s)\\[.*\\]", 0), "array<string>")
+    given = F.slice(F.filter(F.transform(F.coalesce(given, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), 1, 3)
+    every = F.slice(F.array_distinct(F.concat(given, glossary_column(query))), 1, most)
+    return F.when(F.size(every) > 0, every)
+
+
 def glossary_terms(query: str, most: int = 4) -> list[str]:
-    """Terms of the glossary's entries that the query touches, longest anchors first, those not in it already."""
+    """glossary_column() of one query, on the driver."""
     q = query.strip().lower()
-    touched = [e for e in sorted(GLOSSARY, key=lambda e: -max(map(len, e[0]))) if q and any(t.lower() in q for t in (*e[0], *e[1]))]
-    fresh = [t for cjk, latin in touched for t in (*latin, *cjk) if t.lower() not in q]
-    return list(dict.fromkeys(fresh))[:most]
+    touched = [t for cjk, latin in _ENTRIES if q and any(x.lower() in q for x in (*latin, *cjk)) for t in (*latin, *cjk)]
+    return list(dict.fromkeys(t for t in touched if t.lower() not in q))[:most]
 
 
 def expand_query(query: str, rewriter: Rewriter | None = None, most: int = 5) -> list[str]:

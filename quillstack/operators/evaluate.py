@@ -40,3 +40,8 @@ def latency(times: DataFrame, col: str = "seconds") -> DataFrame:
 
 def gate(recall: float, least: float = 0.9) -> bool:
     return recall >= least
+
+
+def gated(summary: DataFrame, least: float = 0.9) -> DataFrame:
+    """A summary with `passed`, whether its recall reaches the gate."""
+    return summary.withColumn("passed", F.col("recall") >= least)

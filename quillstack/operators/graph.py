@@ -16,13 +16,13 @@ GRAM, DIGITS = 12, 6
 X_SPAN, X_STEP, Y_LANE, Y_STEP = 240.0, 26, -110, -16
 
 
-def resolve_citations(citations: DataFrame, papers: DataFrame, parity: bool = False) -> DataFrame:
+def resolve_citations(citations: DataFrame, papers: DataFrame, parity: bool = False, interleaved: bool = False) -> DataFrame:
     """(row columns, target, tier): the paper each citation row means, by DOI (1), exact title (2), or containment
     of normalised titles of 12 characters at least (3); the first tier wins, then the smallest id.
 
     citations need (cid, ext_id, title), papers (id, doi, title). Containment meets on the first 12 characters of
     the shorter title against all 12-grams of the longer, so no pair of unrelated titles is looked at. parity
-    takes the alphabetically smaller title for the shorter.
+    takes the alphabetically smaller title for the shorter. interleaved: the smallest id of any tier wins.
     """
     c = citations.select("cid", norm_doi("ext_id").alias("doi"), norm_title("title").alias("t"))
     p = papers.select("id", norm_doi("doi").alias("doi"), norm_title("title").alias("t"))
@@ -37,7 +37,7 @@ def resolve_citations(citations: DataFrame, papers: DataFrame, parity: bool = Fa
     if parity:
         one, two = one.filter("ct <= pt"), two.filter("pt <= ct")
     fuzzy = one.select("cid", "id").union(two.select("cid", "id")).distinct().select("cid", "id", F.lit(3).alias("tier"))
-    best = by_doi.union(exact).union(fuzzy).groupBy("cid").agg(F.min(F.struct("tier", "id")).alias("m"))
+    best = by_doi.union(exact).union(fuzzy).groupBy("cid").agg(F.min(F.struct("id", "tier") if interleaved else F.struct("tier", "id")).alias("m"))
     return citations.join(best, "cid").select(*citations.columns, F.col("m.id").alias("target"), F.col("m.tier").alias("tier"))
 
 

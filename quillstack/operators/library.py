@@ -99,6 +99,12 @@ def insert_or_replace(table: DataFrame, fresh: DataFrame, keys: list[str], order
     return table.join(last.select(*keys), keys, "left_anti").unionByName(last.select(table.columns))
 
 
+def upsert_index(index: DataFrame, delta: DataFrame) -> DataFrame:
+    """An index of (id, embedding, ...) after delta(id, embedding): entries replaced or added, removed where the new
+    vector is null."""
+    return replace_rows(index, delta, "id").filter("embedding is not null")
+
+
 def delete_papers(table: DataFrame, ids: DataFrame, key: str = "paper_id") -> DataFrame:
     return table.join(ids.select(F.col("id").alias(key)), key, "left_anti")
 

@@ -56,6 +56,17 @@ def text_files(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFra
     return f.select("path", F.when(ok, text).alias("text"), F.sha2("content", 256).alias("sha256"), F.when(ok, "ok").otherwise("error").alias("status"), F.when(~ok, "not UTF-8 text").alias("error"))
 
 
+def write_markdown(texts: DataFrame, path: str) -> None:
+    """(sha256, text) as a table of documents' Markdown under short names, `<first 16 digits>.md`; one row a content."""
+    texts.select(F.concat(F.substring("sha256", 1, 16), F.lit(".md")).alias("name"), "text").dropDuplicates(["name"]).write.mode("append").parquet(path)
+
+
+def read_markdown(spark: SparkSession, path: str, sha256: DataFrame, front: int = 4000) -> DataFrame:
+    """(sha256, front): the first characters of the Markdown written for each content asked for; null where there is none."""
+    own = sha256.select("sha256", F.concat(F.substring("sha256", 1, 16), F.lit(".md")).alias("name"))
+    return own.join(spark.read.parquet(path), "name", "left").select("sha256", F.substring("text", 1, front).alias("front"))
+
+
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """(id, query, expect_any, expect_all, filters) of a JSON file {"cases": [...]}."""
     schema = "cases array<struct<id:string,query:string,expect_any:array<string>,expect_all:array<string>,filters:struct<year_min:int,year_max:int,author:string,venue:string>,note:string>>"
