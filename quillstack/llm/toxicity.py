@@ -1,17 +1,20 @@
 """Toxicity by weak supervision.
 
-Voters are a seed lexicon and words and word beginnings that labelled rows show to be telling, each voting
-`toxic` where it occurs; the rows' own labels are one more, fallible voter. A generative model (two latent classes)
-is fitted to the votes by expectation-maximisation, giving each voter's accuracy; residual correlations of the
-voters within the classes are then estimated, and voters that echo each other share one voice. Its posteriors,
-not the labels, train a linear classifier over the presence of words and word beginnings, which scores every text.
+Voters are a seed lexicon, patterns (insults to a second person, spelled apart or disguised, shouted), and words and word
+beginnings that labelled rows show to be telling; most vote `toxic` where they occur, some `clean`, and elsewhere they
+abstain. A generative model (two latent classes) is fitted to the votes by expectation-maximisation, giving each voter's
+accuracy; residual correlations of the voters within the classes are then estimated, and voters that echo each other share
+one voice. The rows' own labels mine the voters, set the classes' shares, and are one more voter, whose errors are
+estimated like any other's. The posteriors, not the labels, train a linear classifier over the presence of words and word
+beginnings, which scores every text.
 
-The fit looks at no more than MAX_TRAIN labelled rows (those of the smallest id hashes) and keeps at most
-VOCABULARY features, whatever the size of the corpus; scoring reads every whole text and shuffles nothing.
+The fit looks at no more than max_train labelled documents (those of the smallest id hashes), one text of each id, and keeps
+at most VOCABULARY features, whatever the size of the corpus; scoring reads every whole text and shuffles nothing.
 
 Defined results: null and empty texts get the score of a text without features; without labelled rows the seed
-lexicon alone decides; rows of a null id are not held out. Among labels, null counts as missing, and any 1
-for an id outweighs 0.
+lexicon alone decides; rows of a null id are not held out; of the texts of one id the smallest trains, each is scored.
+Among labels, null counts as missing, and any 1 for an id outweighs 0. Repeated rows are scored apart; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,19 +29,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted, slices
 
-MAX_TRAIN, VOCABULARY, VOTERS, MIN_SUPPORT = 12_000, 2048, 64, 4
+#: Labelled documents, features of the classifier, mined voters for toxic and clean, rows that a voter must stand in.
+MAX_TRAIN, VOCABULARY, VOTERS, CLEAN_VOTERS, MIN_SUPPORT = 12_000, 2048, 64, 16, 4
+#: An error on a toxic text counts as so many on clean ones, of which there are more.
+TOXIC_WEIGHT = 3.0
 PREFIXES = (4, 5, 6)
 # Seed lexicon.
 SEEDS = ("idiot", "moron", "stupid", "trash", "scum", "loser", "pathetic", "worthless", "disgusting", "clown")
+_ANY = "|".join(SEEDS)
+#: Pattern voters.
+PATTERNS = {
+    "~addressed": re.compile(rf"(?i)\b(?:you|your|you're|ur|thou)\b(?:\W+\w+){{0,4}}\W+(?:{_ANY})s?\b|\b(?:{_ANY})s?\b\W+(?:you|your)\b"),
+    "~apart": re.compile("(?i)" + "|".join(rf"\b{'[ ._*-]'.join(x)}\b" for x in SEEDS)),
+    "~disguised": re.compile("(?i)" + "|".join(rf"\b(?!{x}){''.join({'a': '[a@4]', 'e': '[e3]', 'i': '[i1!|]', 'o': '[o0]', 's': '[s$5]', 't': '[t7]', 'l': '[l1|]'}.get(c, c) for c in x)}" for x in SEEDS)),
+    "~shouted": re.compile(rf"\b(?:{_ANY.upper()})S?\b"),
+    "~again": re.compile(rf"(?i)\b({_ANY})\b(?=(?:\W+\w+){{0,8}}\W+\1\b)"),
+}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str | None) -> set[str]:
-    """Lower-cased words, and beginnings of longer words marked by a star."""
+    """Lower-cased words, beginnings of longer words marked by a star, and names of patterns."""
     seen = set(_WORD.findall((text or "").lower()))
-    return seen | {w[:k] + "*" for w in seen for k in PREFIXES if len(w) > k}
+    return seen | {w[:k] + "*" for w in seen for k in PREFIXES if len(w) > k} | {name for name, p in PATTERNS.items() if p.search(text or "")}
 
 
 @dataclass
@@ -67,15 +82,18 @@ class Model:
 def label_model(votes: np.ndarray, prior: float, given: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of `toxic`, the voters' accuracies where they vote, and their voices after correlation.
 
-    A voter votes or abstains; abstaining says nothing, so that voters for one language don't speak against
-    texts of another. given: labels 0/1, which count as one more voter that never abstains.
+    votes: 1 for toxic, -1 for clean, 0 where a voter abstains; abstaining says nothing, so that voters for one language
+    don't speak against texts of another. given: labels 0/1, which count as one more voter that never abstains,
+    and start the estimate.
     """
-    m = votes.shape[1]
     v = votes.astype(np.float64)
+    toxic, clean = v.clip(0), (-v).clip(0)
+    base, voice = math.log(prior / (1 - prior)), np.ones(v.shape[1])
+    odds = lambda right: np.log(np.clip(right, 1e-4, 1 - 1e-4) / (1 - np.clip(right, 1e-4, 1 - 1e-4)))
     p = np.clip(given.astype(np.float64), 0.02, 0.98)
-    base, voice = math.log(prior / (1 - prior)), np.ones(m)
     for i in range(rounds):
-        accuracy = np.clip((p @ v + prior) / (v.sum(0) + 1), 1e-4, 1 - 1e-4)
+        # How often each voter is right where it says toxic, and where it says clean.
+        told, cleared = (p @ toxic + prior) / (toxic.sum(0) + 1), ((1 - p) @ clean + 1 - prior) / (clean.sum(0) + 1)
         if i == rounds // 2:
             # Correlations left within the classes: a voter's voice is shared with those that echo it.
             r1, r0 = v - (p @ v) / (p.sum() + 1e-9), v - ((1 - p) @ v) / ((1 - p).sum() + 1e-9)
@@ -83,27 +101,29 @@ def label_model(votes: np.ndarray, prior: float, given: np.ndarray, rounds: int
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             echo = cov / np.outer(sd, sd)
             voice = 1 / np.maximum(1.0, np.where(echo > 0.1, np.minimum(echo, 1), 0).sum(1))
-        z = base + v @ (voice * (np.log(accuracy / (1 - accuracy)) - base))
         hit, slip = (p @ given + 1) / (p.sum() + 2), ((1 - p) @ given + 0.5) / ((1 - p).sum() + 5)
-        z += np.where(given > 0, math.log(hit / slip), math.log((1 - hit) / (1 - slip)))
+        # A vote speaks by how much rarer or more frequent it makes the class than it is by now.
+        now = odds(p.mean())
+        z = base + toxic @ (voice * (odds(told) - now)) - clean @ (voice * (odds(cleared) + now)) + np.where(given > 0, math.log(hit / slip), math.log((1 - hit) / (1 - slip)))
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if np.abs(new - p).max() < 1e-6 and i > rounds // 2:
             break
         p = new
+    accuracy = (told * toxic.sum(0) + cleared * clean.sum(0)) / np.maximum(1, np.abs(v).sum(0))
     return p, accuracy, voice
 
 
-def linear_fit(rows: list[np.ndarray], target: np.ndarray, size: int, rounds: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets; rows list the features present in each text."""
+def linear_fit(rows: list[np.ndarray], target: np.ndarray, size: int, rounds: int = 300, penalty: float = 1e-4, weight: float = TOXIC_WEIGHT) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets; rows list the features present in each text. weight: of target 1 against 0."""
     w, bias = np.zeros(size), 0.0
     if not rows:
         return w, bias
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
-    g2, b2 = np.full(size, 1e-6), 1e-6
+    g2, b2, heavy = np.full(size, 1e-6), 1e-6, 1 + (weight - 1) * target
     for _ in range(rounds):
         z = bias + np.bincount(doc, w[col], minlength=len(rows))
-        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
+        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * heavy
         grad = np.bincount(col, err[doc], minlength=size) / len(rows) + penalty * w
         gb = err.mean()
         g2 += grad**2
@@ -126,11 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lab = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null")
     lab = lab.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    # The ids chosen are at most max_train, so that texts stay where they are.
-    train = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # The ids chosen are at most max_train, so that texts stay where they are; of each id one text stays.
+    train = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    train = train.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features(t.as_py())) for t in b.column(1)], pa.list_(pa.string())), b.column(2)], ["doc_id", "f", "y"])
 
     seen = cut(train.mapInArrow(extract, "doc_id long, f array<string>, y int"), "features")
@@ -144,31 +165,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pool = (F.col("n") + 0.1) / (n1 + n0 + 0.2)
     ratio = F.col("pos") * F.log(a / pool) + (F.col("n") - F.col("pos")) * F.log(b / pool)
     c = c.select("f", F.round(F.when(a > b, ratio).otherwise(-ratio), 6).alias("g"), (F.col("pos") / F.col("n")).alias("rate"))
-    top = c.orderBy(F.desc(F.abs("g")), "f").limit(VOCABULARY).collect()
+    telling = [F.desc(F.abs("g")), "f"]
+    top = c.filter(~F.col("f").startswith("~")).orderBy(*telling).limit(VOCABULARY).collect()
     vocabulary = [r["f"] for r in top]
-    voters = list(dict.fromkeys([s for s in SEEDS if s in vocabulary] + [r["f"] for r in top if r["g"] > 0 and r["rate"] > max(0.5, toxic / total)][:VOTERS]))
+    # The seeds, the patterns, and a bounded number of mined voters of either side.
+    share = toxic / total
+    patterns = [r["f"] for r in c.filter((F.col("f").startswith("~")) & (F.col("g") > 0)).collect()]
+    mined = [r["f"] for r in top if r["g"] > 0 and r["rate"] > max(0.5, share)][:VOTERS]
+    against = [r["f"] for r in top if r["g"] < 0 and r["rate"] < share / 2][:CLEAN_VOTERS]
+    voters = list(dict.fromkeys([*[s for s in SEEDS if s in vocabulary], *patterns, *mined]))
     if not voters:
         return _seed_model()
-    at = {f: i for i, f in enumerate(vocabulary)}
+    names = [*vocabulary, *patterns]
+    at = {f: i for i, f in enumerate(names)}
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array([at[f] for f in x.as_py() if f in at], np.int16).tobytes() for x in b.column(1)], pa.binary()), b.column(2)], ["doc_id", "cols", "y"])
 
-    # At most max_train rows of at most VOCABULARY two-byte numbers.
+    # At most max_train rows, one an id, of two-byte numbers of features.
     sample = sorted(seen.select("doc_id", "f", "y").mapInArrow(code, "doc_id long, cols binary, y int").collect(), key=lambda r: r["doc_id"])
-    rows = [np.frombuffer(r["cols"], np.int16) for r in sample]
-    number = np.full(len(vocabulary), -1)
-    number[[at[v] for v in voters]] = np.arange(len(voters))
-    votes = np.zeros((len(rows), len(voters)), bool)
-    for i, r in enumerate(rows):
-        own = number[r]
-        votes[i, own[own >= 0]] = True
-    posterior, _, _ = label_model(votes, toxic / total, np.array([r["y"] > 0 for r in sample], np.int64))
-    w, bias = linear_fit(rows, posterior, len(vocabulary))
+    found = [np.frombuffer(r["cols"], np.int16) for r in sample]
+    votes = votes_of(found, [at[v] for v in voters], [at[v] for v in against], len(names))
+    posterior, _, _ = label_model(votes, share, np.array([r["y"] > 0 for r in sample], np.int64))
+    w, bias = linear_fit([r[r < len(vocabulary)] for r in found], posterior, len(vocabulary))
     return Model({f: float(x) for f, x in zip(vocabulary, w) if abs(x) > 1e-4}, float(bias))
 
 
+def votes_of(found: list[np.ndarray], toxic: list[int], clean: list[int], size: int) -> np.ndarray:
+    """The votes (a row for each text) of features that vote toxic and of features that vote clean."""
+    number = np.full(size, -1)
+    number[toxic] = np.arange(len(toxic))
+    number[clean] = len(toxic) + np.arange(len(clean))
+    votes = np.zeros((len(found), len(toxic) + len(clean)), np.int8)
+    for i, r in enumerate(found):
+        own = number[r]
+        votes[i, own[own >= 0]] = 1
+    votes[:, len(toxic) :] *= -1
+    return votes
+
+
 def score_column(model: Model, text: Column) -> Column:
     """score as a column; one Arrow batch at a time."""
 
@@ -181,5 +217,5 @@ def score_column(model: Model, text: Column) -> Column:
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per input row."""
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col).cast("long")), F.lit(False)).alias("held_out"), score_column(model, F.col(text_col)).alias("score"))
+    out = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(quoted(id_col)).cast("long")), F.lit(False)).alias("held_out"), score_column(model, F.col(quoted(text_col))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

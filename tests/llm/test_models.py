@@ -96,3 +96,54 @@ def test_pipeline(spark):
 def test_queries_are_registered():
     names = entry_points.queries()
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} >= set(range(1, 11))
+
+
+def test_voters_for_clean_texts():
+    """Voters for clean texts count against, and accuracies come out right for voters of either kind."""
+    r = np.random.default_rng(4)
+    y = r.random(3000) < 0.3
+    says = lambda hit, reach: np.where(r.random(3000) < reach, np.where(r.random(3000) < hit, np.where(y, 1, -1), np.where(y, -1, 1)), 0)
+    votes = np.stack([says(0.9, 0.7), says(0.85, 0.7), says(0.6, 0.7), says(0.5, 0.5), says(0.8, 0.7)], axis=1)
+    given = (y ^ (r.random(3000) < 0.1)).astype(int)
+    p, accuracy, _ = toxicity.label_model(votes, 0.3, given)
+    assert ((p > 0.5) == y).mean() > 0.95 > (given == y).mean()
+    assert np.abs(accuracy - [0.9, 0.85, 0.6, 0.5, 0.8]).max() < 0.05
+    only = -(votes == -1).astype(int)
+    p, accuracy, _ = toxicity.label_model(only, 0.3, given)
+    assert accuracy[0] > accuracy[4] > accuracy[2] > accuracy[3] and p[only[:, 0] == -1].mean() < p[only[:, 0] == 0].mean()
+
+
+def test_patterns():
+    hit = lambda t: {n for n in toxicity.features(t) if n.startswith("~")}
+    assert hit("you are such an idiot") == {"~addressed"} and hit("i.d.i.o.t") == {"~apart"} and hit("what an 1d1ot") == {"~disguised"}
+    assert hit("SCUM of the earth") == {"~shouted"} and hit("moron says moron") == {"~again"}
+    assert hit("the trash was emptied") == hit("") == hit(None) == set()
+
+
+def test_training_rows_are_bounded(spark):
+    """One text of each id is fitted on, so that max_train bounds what comes to the driver."""
+    rows = [(1, f"common words and number {i}") for i in range(300)] + [(i, "you idiot you moron, common words" if i % 2 else "fine weather and common words") for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.label_model
+    try:
+        toxicity.label_model = lambda votes, *a, **k: (seen.append(len(votes)), fit(votes, *a, **k))[1]
+        toxicity.fit(frame(spark, rows), labels, max_train=20)
+    finally:
+        toxicity.label_model = fit
+    assert seen and seen[0] <= 20
+
+
+def test_topk_skips_by_proof(spark):
+    """On vectors in clusters most blocks are skipped, and of the segments of those read some stay unread."""
+    r = np.random.default_rng(3)
+    middles = r.normal(size=(8, 16)) * 3
+    rows = [(i, [float(x) for x in (middles[i % 8] + r.normal(size=16) * 0.2).astype(np.float32)]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = topk.quantise(df)
+    index = topk.build_index(q, block_rows=200)
+    asked = q.filter("vec_id % 50 = 0")
+    assert {tuple(x) for x in topk.search(index, asked).collect()} == brute_top(rows)
+    got = topk.search(index, asked, report=True).toPandas().sum()
+    assert got["skipped"] > 0.5 * got["queries"] and got["read"] < got["segments"] or got["skipped"] == got["queries"]
+    assert sum(len(np.frombuffer(x.ids, np.int64)) for x in index.blocks.select("ids").collect()) == 1600
