@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import mix64, sliding_min
+from .common import mix64, quoted, slices, sliding_min
 
 K, S, BINS = 16, 6, 128
 _P = np.uint64(0x2545F4914F6CDD1D)
-#: Blocks of ids are at most so many, whatever the size of the table; their heads may therefore be broadcast.
-MAX_BLOCKS, BLOCK_ROWS = 65536, 400
+#: Ranges of ids are at most so many at first, of so many rows at least, and cut so often.
+MAX_BLOCKS, BLOCK_ROWS, LEVELS = 65536, 400, 4
+_LOWEST = -(2**63)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -90,7 +91,7 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """One row per anchor of every document: (doc_id, position, hash). Empty texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for i, t in zip(batch.column(0), batch.column(1)):
                 at, h = syncmers(t.as_py() or "", k, s)
                 if len(at):
@@ -110,27 +111,49 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
+def id_blocks(rows: DataFrame, most: int = MAX_BLOCKS, size: int = BLOCK_ROWS, levels: int = LEVELS) -> tuple[DataFrame, int]:
+    """rows(ord, ...) with `block`, numbers of ranges of ord in ascending order, and how many there may be.
+
+    The ids' span is cut into equal ranges. Ranges that hold over four times `size` rows are cut again, between their own
+    least and greatest id, and so on, so that ids in clusters don't share one range. Counting reads ids only, and what
+    comes to the driver, and is broadcast, are a few numbers for each of at most 2 * most ranges.
+    """
+    n, lo, hi = rows.agg(F.count("*"), F.min(F.nullif("ord", F.lit(_LOWEST))), F.max(F.nullif("ord", F.lit(_LOWEST)))).first()
+    if lo is None:
+        return rows.withColumn("block", F.lit(-1)), 1
+    cut = lambda first, width: F.floor((F.col("ord").cast("decimal(20,0)") - first.cast("decimal(20,0)")) / width.cast("decimal(20,0)")).cast("int")
+    whole = lambda x: F.lit(str(x))  # noqa: E731  widths may exceed 64 bits
+    blocks = max(1, min(most, n // size))
+    rows = rows.withColumn("block", F.when(F.col("ord") == _LOWEST, F.lit(-1)).otherwise(cut(whole(lo), whole((hi - lo) // blocks + 1))))
+    for _ in range(levels):
+        held = rows.select("ord", "block").groupBy("block").agg(F.count("*").alias("c"), F.min("ord").alias("lo"), F.max("ord").alias("hi")).collect()
+        parts = {r["block"]: min(r["hi"] - r["lo"] + 1, -(-r["c"] * blocks // n)) if r["c"] > 4 * max(size, n // most) else 1 for r in held}
+        if max(parts.values()) == 1:
+            break
+        table, at = [], 0
+        for r in sorted(held, key=lambda r: r["block"]):
+            table.append((r["block"], at, r["lo"], (r["hi"] - r["lo"]) // parts[r["block"]] + 1))
+            at += parts[r["block"]]
+        finer = rows.sparkSession.createDataFrame([(b, k, f, str(w)) for b, k, f, w in table], "old int, base int, first long, width string")
+        rows = rows.join(F.broadcast(finer), F.col("block") == F.col("old")).withColumn("block", F.col("base") + cut(F.col("first"), F.col("width"))).drop("old", "base", "first", "width")
+        blocks = max(blocks, at)
+    return rows, blocks
+
+
 def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited form (see edited_text), the following text being that of the
     next larger id, or of the first for the last.
 
-    Ids are cut into at most MAX_BLOCKS equal ranges; the first document of each range also goes to the range
-    before it, so each range is handled on its own, streamed in id order: texts are shuffled once. Rows with
-    the same id keep their texts' order; null ids come first. One row per input row.
+    Ids are cut into ranges (see id_blocks); the first document of each range also goes to the range before it, so
+    each range is handled on its own, streamed in id order: texts are shuffled once. Rows with the same id keep
+    their texts' order; null ids come first. One row per input row; an empty table gives no rows; other columns are
+    not read.
     """
-    lowest = -(2**63)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("ord", F.coalesce("doc_id", F.lit(lowest)))
-    ids = base.select("ord", F.when(F.col("doc_id").isNotNull(), F.col("ord")).alias("known"))
-    n, lo, hi = ids.agg(F.count("*"), F.min("known"), F.max("known")).first()
-    blocks = max(1, min(MAX_BLOCKS, n // BLOCK_ROWS))
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = (hi - lo) // blocks + 1
-    # Split in halves so that the difference of two far ids stays within 64 bits.
-    block = F.when(F.col("ord") == lowest, F.lit(-1)).otherwise((F.col("ord").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")) if hi - lo >= 2**62 else F.when(F.col("ord") == lowest, F.lit(-1)).otherwise(F.expr(f"(ord - {lo}L) div {width}L"))
-    base = base.withColumn("block", F.floor(block).cast("int"))
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("ord", F.coalesce("doc_id", F.lit(_LOWEST)))
+    base, blocks = id_blocks(base)
     heads = base.groupBy("block").agg(F.min("ord").alias("head"))
-    order = Window.orderBy("block")  # over at most MAX_BLOCKS + 1 rows
+    order = Window.orderBy("block")  # over at most 2 * MAX_BLOCKS + 1 rows
     everywhere = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("head", F.coalesce(F.lag("block").over(order), F.last("block").over(everywhere)).alias("before"), F.lag("block").over(order).isNull().alias("wraps"))
     # Repeated rows of the first id all travel; the sort takes the first of them.
@@ -152,7 +175,7 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
             efp = sketch(syncmers(edited)[1])
             out.append((doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fp.hex(), efp.hex(), likeness(fp, efp), likeness(fp, nfp)))
 
-        for batch in batches:
+        for batch in slices(batches):
             for block, ahead, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
                 if ahead and held is None:
                     continue  # a further copy of the following head

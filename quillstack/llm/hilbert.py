@@ -1,14 +1,15 @@
 """Sharding along a Hilbert curve over quantised metadata, with DataFrame functions only.
 
-Each dimension is quantised to BITS bits, cells are numbered along the curve by a finite-state walk over the
+Each dimension is quantised to BITS bits: languages and sources by quantiles of their distinct values, so that no two
+values share a cell without need, sizes by doubling. Cells are numbered along the curve by a finite-state walk over the
 bits, rows are ranked by (cell, sub-bucket, id) and equal runs of ranks are the shards: sizes differ by one
 row at most, and a shard covers few cells, so its minima and maxima prune on every dimension at once.
 
 Ranks come without a global sort: counts of cells (at most 2**(3*BITS)) and of sub-buckets are summed up, and only
 rows of one (cell, sub-bucket) are ordered, so that a cell with a third of all rows is spread over many tasks.
 
-Defined results: null text is empty, null metadata sorts first, repeated rows keep rows of their own, an empty
-table gives no rows.
+Defined results: null text is empty, null metadata lies in the first cell, repeated rows keep rows of their own, an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from quillstack.operators.numbering import numbered
+
+from .common import cut, quoted
 
 BITS, DIMS = 5, 3
 
@@ -55,22 +58,30 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.array(*[F.lit(b) for b in reversed(range(bits))]), start, step)["h"]
 
 
-def text_code(c: Column) -> Column:
-    """The first seven UTF-8 bytes as a number: order-preserving."""
-    return F.coalesce(F.conv(F.substring(F.rpad(F.hex(c.cast("binary")), 14, "0"), 1, 14), 16, 10).cast("long"), F.lit(0))
+def split_values(rows: DataFrame, col: str, cells: int) -> list[str]:
+    """At most cells - 1 values that cut a column's distinct values into runs of equal length, as far as they go."""
+    values = numbered(rows.select(F.col(col).alias("v")).filter("v is not null").distinct(), ["v"])
+    m = values.agg(F.max("place")).first()[0] or 0
+    wanted = sorted({i * m // cells + 1 for i in range(1, cells)} - {1})
+    return [r["v"] for r in values.filter(F.col("place").isin(wanted)).orderBy("place").collect()] if wanted else []
+
+
+def cell_of(col: Column, splits: list[str]) -> Column:
+    """How many of the split values a value reaches; null is in cell 0."""
+    return sum((F.when(col >= F.lit(v), 1).otherwise(0) for v in splits), F.lit(0)).cast("int")
 
 
 def curve_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", bits: int = BITS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve, lang_cell, source_cell, size_cell)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), text_code(F.col(lang_col)).alias("a"), text_code(F.col(source_col)).alias("b"))
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col(quoted(lang_col)).cast("string").alias("a"), F.col(quoted(source_col)).cast("string").alias("b"))
     base = cut(base, "curve")
-    n, a0, a1, b0, b1 = base.agg(F.count("*"), F.min("a"), F.max("a"), F.min("b"), F.max("b")).first()
-    linear = lambda c, lo, hi: F.expr(f"(({c} - {lo or 0}L) * {1 << bits}L) div {(hi or 0) - (lo or 0) + 1}L").cast("int")
+    n = base.count()
+    a, b = (cell_of(F.col(c), split_values(base, c, 1 << bits)) for c in ("a", "b"))
     doubling = F.least(F.floor(F.log2(F.col("size").cast("double"))), F.lit((1 << bits) - 1)).cast("int")
     # Ties within a cell are dealt to so many sub-buckets; the order of ties is free, as long as it is fixed.
     buckets = max(8, min(4096, n // 1024))
-    base = base.select("doc_id", "size", "text_crc32", linear("a", a0, a1).alias("lang_cell"), linear("b", b0, b1).alias("source_cell"), doubling.alias("size_cell"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int").alias("sub"))
+    base = base.select("doc_id", "size", "text_crc32", a.alias("lang_cell"), b.alias("source_cell"), doubling.alias("size_cell"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int").alias("sub"))
     base = base.withColumn("curve", hilbert_index([F.col("lang_cell"), F.col("source_cell"), F.col("size_cell")], bits))
     counts = base.groupBy("curve", "sub").agg(F.count("*").alias("c"))
     before = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -6,7 +6,8 @@ result is the segmentation of largest total score; ties go to the longer last pi
 spells become their UTF-8 bytes' pieces, at a penalty below every score. Decoding gives back the exact text.
 
 Defined results: null and empty texts have no ids; a literal U+2581 is spelled in bytes, since the piece of that
-look stands for a space. Texts are streamed row by row; nothing is shuffled.
+look stands for a space; repeated rows are rows of their own, an empty table gives no rows, further columns are not
+read. Texts are streamed row by row, whole ones of any length; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -17,14 +18,17 @@ from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, slices
+
 SPACE = "▁"
-#: Segmentations of single words kept by each worker; the memory for them is bounded, the result isn't touched.
-CACHE = 400_000
+#: Segmentations of single words that a task keeps, some 250 bytes each; bounds memory, the result isn't touched.
+CACHE = 120_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -123,26 +127,22 @@ class PieceCodec:
         return b"".join([text[i] for i in array("i", ids)]).decode("utf-8", "surrogatepass")[1:]
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(path: str) -> PieceCodec:
-    if path not in _codecs:
-        _codecs.clear()
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+    return PieceCodec(path)
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, score) per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b in batches:
+        c = codec(path)  # it goes with the task: a worker serves other stages later on
+        for b in slices(batches, 64):
             got = [c.encode(t.as_py() or "") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(array("i", g[0])) for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "ids", "score"])
+            flat = np.frombuffer(b"".join([ids for ids, _ in got]), "<i4")
+            ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in got)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "ids", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, score double")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, score double")
 
 
 def decode_documents(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -150,10 +150,10 @@ def decode_documents(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(array("i", x.as_py() or []).tobytes()) for x in b.column(1)], pa.string())], ["doc_id", "text"])
+        for b in slices(batches, 64):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(np.array(x.values if x.is_valid else [], "<i4").tobytes()) for x in b.column(1)], pa.string())], ["doc_id", "text"])
 
-    return ids.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return ids.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(ids_col)).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def encode_report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +161,7 @@ def encode_report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in slices(batches):
             n, crc, score, same = [], [], [], []
             for t in b.column(1):
                 t = t.as_py() or ""
@@ -172,4 +172,4 @@ def encode_report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 same.append(c.decode(ids) == t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(score, pa.float64()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "score", "round_trip"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, score double, round_trip boolean")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, score double, round_trip boolean")

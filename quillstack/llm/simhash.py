@@ -9,7 +9,8 @@ of linked fingerprints, never all pairs, and the stars are joined by connected c
 
 Defined results: words are maximal runs of bytes other than space and \\t\\n\\v\\f\\r, after lower-casing A-Z; fewer
 than three words form one shingle; no words (null, empty or blank text) give fingerprint zero, which links like
-any other. Repeated rows stay rows. Rows with a null id carry their component but never name it.
+any other. Repeated rows stay rows. Rows with a null id carry their component but never name it. An empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, quoted, slices
 
 RADIUS, WORDS, SEED = 3, 3, 42
 #: Buckets above this are split by the next level's masks; the last level keeps what it gets.
@@ -51,11 +52,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp long): the fingerprint's 64 bits as a signed long. One row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def covering_masks(radius: int = RADIUS, level: int = 0) -> list[int]:
