@@ -166,6 +166,24 @@ def pages_label(first: Column, last: Column) -> Column:
     return F.when(first.isNull(), "").when(last.isNull() | (first == last), F.concat(F.lit("p"), first.cast("string"))).otherwise(F.concat(F.lit("p"), first.cast("string"), F.lit("-"), last.cast("string")))
 
 
+def html_text(c: Column | str) -> Column:
+    """Text for a page: markup characters as entities, null as empty."""
+    out = F.replace(blank_to_empty(c), F.lit("&"), F.lit("&amp;"))
+    for plain, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(plain), F.lit(entity))
+    return out
+
+
+def lighten(color: Column | str, amount: float) -> Column:
+    """A colour #rrggbb, each channel moved towards white by a share of what is left, rounded."""
+    channel = lambda k: F.conv(F.substring(_s(color), 2 + 2 * k, 2), 16, 10).cast("int")
+    hexed = lambda v: F.lpad(F.lower(F.hex(F.floor(v + (255 - v) * amount + 0.5).cast("long"))), 2, "0")
+    return F.concat(F.lit("#"), *[hexed(channel(k)) for k in range(3)])
+
+
+# Fixed values from here on: sizes, widths and limits of the graph views.
+
+
 def node_size(mode: str, cited: Column, chunks: Column) -> Column:
     """Size of a paper's node in the graph view."""
     if mode == "citations":

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -22,6 +23,27 @@ def cosine(vector: Column, query: Sequence[float]) -> Column:
     return F.when(F.size(vector) == len(query), dot / (F.when(sq == 0, 1.0).otherwise(F.sqrt(sq)) * F.lit(norm)))
 
 
+def vectors_to_bytes(vectors: Column) -> Column:
+    """Arrays of floats as little-endian 32-bit bytes, the form in which other stores keep them; null stays null."""
+
+    @F.arrow_udf("binary")
+    def pack(v: pa.Array) -> pa.Array:
+        return pa.array([np.array(x.values, "<f4").tobytes() if x.is_valid else None for x in v], pa.binary())
+
+    return pack(vectors)
+
+
+def vectors_from_bytes(raw: Column) -> Column:
+    """The reverse of vectors_to_bytes(); bytes beyond the last whole number are dropped."""
+
+    @F.arrow_udf("array<float>")
+    def unpack(b: pa.Array) -> pa.Array:
+        rows = [np.frombuffer(x.as_py(), "<f4", len(x.as_py()) // 4) if x.is_valid else None for x in b]
+        return pa.array(rows, pa.list_(pa.float32()))
+
+    return unpack(raw)
+
+
 def vector_topk(vectors: DataFrame, query: Sequence[float], k: int = 30, id_col: str = "id", vec_col: str = "embedding", allowed: DataFrame | None = None, exclude=None) -> DataFrame:
     """(id, sim, rank) of the k nearest rows; ranks from 1, ties to smaller ids.
 

@@ -10,6 +10,7 @@ from quillstack import hooks
 from quillstack.functions import scalars as X
 from quillstack.functions import text as T
 from quillstack.operators import evaluate, graph, library
+from quillstack.operators.vectors import vectors_from_bytes, vectors_to_bytes
 from quillstack.plans import graphs as views
 from quillstack.plans import ingest as loading
 from quillstack.plans import search as plan
@@ -162,6 +163,27 @@ def quota_errors(spark, d):
     return table(spark, d, "events").select("event_id", X.quota_error(F.when(F.col("event_type") == "error", 402).otherwise(200), F.concat_ws(" ", "event_type", "props")).alias("quota"))
 
 
+@query("select page_id, replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as html from pages")
+def html_texts(spark, d):
+    return table(spark, d, "pages").select("page_id", X.html_text("html").alias("html"))
+
+
+_RGB = "(c_custkey * 7919) % 16777216"
+_LIGHT = " || ".join(f"lpad(format('{{:x}}', cast(floor(v{k} + (255 - v{k}) * 0.25 + 0.5) as bigint)), 2, '0')" for k in range(3))
+
+
+@query(f"with c as (select c_custkey, {_RGB} as n from customer), v as (select c_custkey, n // 65536 as v0, n // 256 % 256 as v1, n % 256 as v2 from c) select c_custkey, '#' || {_LIGHT} as color from v")
+def light_colors(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("#"), F.lpad(F.hex(F.expr(_RGB).cast("long")), 6, "0")).alias("color"))
+    return c.select("c_custkey", X.lighten("color", 0.25).alias("color"))
+
+
+@query("select vec_id as id, 4 * len(embedding) as n_bytes, len(embedding) as n, true as same from embeddings")
+def vector_bytes(spark, d):
+    v = vectors(spark, d).withColumn("raw", vectors_to_bytes(F.col("embedding")))
+    return v.select("id", F.octet_length("raw").cast("long").alias("n_bytes"), vectors_from_bytes(F.col("raw")).alias("back"), "embedding").select("id", "n_bytes", F.size("back").cast("long").alias("n"), (F.col("back") == F.col("embedding").cast("array<float>")).alias("same"))
+
+
 # ---- graphs
 
 def _graph_library(spark, d):
