@@ -360,3 +360,47 @@ def test_shared_passage(spark, monkeypatch, frequent, held):
             gone[s["s"] : s["e"]] = True
         assert (gone == want[x["doc_id"]]).all(), x["doc_id"]
     assert len(got) == len(rows)
+
+
+def plain_hash(codes):
+    """The 64-bit hash of a run of code points, in whole numbers."""
+    top, h = 1 << 64, 0
+    for i, c in enumerate(codes):
+        h = c if i == 0 else (h * 0x2545F4914F6CDD1D + c) % top
+    h = (h ^ h >> 31) * 0x9FB21C651E98DF25 % top
+    h = (h ^ h >> 29) * 0xD6E8FEB86659FD93 % top
+    return h ^ h >> 32
+
+
+def test_closed_syncmers_one_by_one():
+    """A k-mer is chosen when the least hash of its s-mers stands first or last, judged k-mer by k-mer."""
+    r = np.random.default_rng(6)
+    k, s = fingerprints.K, fingerprints.S
+    for _ in range(30):
+        text = "".join(r.choice(list("abcdef é你\U0001f600"), int(r.integers(26, 160))))
+        codes = [ord(c) for c in text]
+        want = []
+        for p in range(len(codes) - k + 1):
+            inner = [plain_hash(codes[p + i : p + i + s]) for i in range(k - s + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                want.append((p, plain_hash(codes[p : p + k])))
+        at, h = fingerprints.syncmers(text)
+        assert list(zip(at.tolist(), h.tolist())) == want
+
+
+def test_likeness_follows_overlap():
+    """The sketch's likeness lies near the share of common anchors that sets of them give."""
+    r = np.random.default_rng(12)
+    word = lambda: "".join(r.choice(list("abcdefghijkl"), int(r.integers(2, 9))))
+    off = []
+    for keep in (0.0, 0.3, 0.5, 0.8, 0.95, 1.0):
+        for _ in range(6):
+            a = [word() for _ in range(400)]
+            cut = int(400 * keep)
+            b = a[:cut] + [word() for _ in range(400 - cut)]
+            x, y = (set(fingerprints.syncmers(" ".join(t))[1].tolist()) for t in (a, b))
+            true = len(x & y) / len(x | y)
+            got = fingerprints.likeness(*(fingerprints.sketch(np.array(sorted(z), np.uint64)) for z in (x, y)))
+            assert abs(got - true) < 0.2
+            off.append(got - true)
+    assert abs(np.mean(off)) < 0.03
