@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import quoted, slices
 
 SPACE = "▁"
-#: Segmentations of single words that a task keeps, some 250 bytes each; bounds memory, the result isn't touched.
-CACHE = 120_000
+#: Segmentations of single words that a task keeps, some 250 bytes each, given back with the task; bounds memory, the result isn't touched.
+CACHE = 400_000
 UNKNOWN_PENALTY = 10.0
 
 
