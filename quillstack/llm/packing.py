@@ -6,7 +6,8 @@ its place from its rank among the pieces of its length. Reduction fixes sets tha
 a full piece; a piece nothing fits beside; two pieces filling a sequence exactly; a piece beside which one other
 fits at most, with the largest that does. What remains goes by decreasing length to the fullest sequence with room.
 
-Defined results: null text is empty, and an empty text is its end token alone; repeated rows are packed apart.
+Defined results: null text is empty, and an empty text is its end token alone; repeated rows are packed apart; a null id is
+kept; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted, slices
 
 CAPACITY, END = 4096, 1
-#: Words whose ids each worker keeps; bounds memory only.
-CACHE = 600_000
+#: Bytes of words and ids that a task keeps, about; bounds memory only.
+CACHE = 64 << 20
 
 
 @dataclass
@@ -149,10 +150,14 @@ def best_fit(plan: Plan, counts: dict[int, int]) -> None:
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Reduction, then best fit. Fixing dominating sets loses no optimum, but best fit may by chance do better on the
+    whole than on what they leave; then its plan is taken."""
     plan, counts = Plan(capacity), {n: c for n, c in counts.items() if c}
+    plain = Plan(capacity)
+    best_fit(plain, dict(counts))
     reduce_instance(plan, counts)
     best_fit(plan, counts)
-    return plan
+    return plan if plan.sequences <= plain.sequences else plain
 
 
 def _classes() -> tuple[str, str]:
@@ -176,6 +181,7 @@ class WordEncoder:
         self.plain = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-įĲ-ňŊ-ɏ]*")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^ \\t\\n\\r\\x0b\\x0c{letter}{number}]+")
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, text: str) -> bytes:
         return array.array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -197,8 +203,9 @@ class WordEncoder:
                 out.append(b"".join([memo[w] if w in memo else long[w] for w in words]))
             else:
                 out.append(b"".join([memo[w] for w in words]))
-        if len(memo) > CACHE:  # words met early are the frequent ones
-            self.memo = dict(itertools.islice(memo.items(), CACHE // 3))
+        if self.held > CACHE:  # words met early are the frequent ones
+            self.memo = dict(itertools.islice(memo.items(), len(memo) // 3))
+            self.held //= 3
         return out
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
@@ -213,28 +220,23 @@ class WordEncoder:
             apart = number.max(initial=-1) == len(part) - 1
             for i, w in enumerate(part):
                 (self.memo if len(w) < 64 else long)[w] = ids[ends[i] : ends[i + 1]].tobytes() if apart else self.whole(w)
+                self.held += 200  # the two objects and their place in the table
         return long
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return WordEncoder(path)
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and end token, cut at the capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The encoder goes with the task: a worker serves other stages later on.
         enc, stop = encoder(path), end.to_bytes(4, "little")
-        for b in batches:
+        for b in slices(batches, 64):
             cols = [[], [], [], [], []]
-            ids_of = (ids for at in range(0, b.num_rows, 64) for ids in enc.encode_all([t or "" for t in b.column(1).slice(at, 64).to_pylist()]))
-            for doc, ids in zip(b.column(0).to_pylist(), ids_of):
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all([t or "" for t in b.column(1).to_pylist()])):
                 ids += stop
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -242,7 +244,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
