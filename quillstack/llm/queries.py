@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hilbert, licenses, linefreq, packing, pieces, simhash, substrings, topk, toxicity
+from . import bytebpe, fingerprints, hilbert, licenses, linefreq, packing, pieces, simhash, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,12 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encode_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_impact_topk, op3_covering_simhash, op4_hilbert_shards, op5_piece_viterbi, op6_line_frequency, op7_weak_toxicity, op8_suffix_family, op9_license_diagonals, op10_bestfit_packing)}
+    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_impact_topk, op3_covering_simhash, op4_hilbert_shards, op5_piece_viterbi, op6_line_frequency, op7_weak_toxicity, op8_suffix_family, op9_license_diagonals, op10_bestfit_packing, op12_byte_bpe)}
 
 
 _OP2 = """
