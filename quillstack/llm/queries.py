@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, fingerprints, hilbert, licenses, linefreq, packing, pieces, simhash, substrings, topk, toxicity
+from . import bytebpe, fingerprints, hilbert, licenses, linefreq, packing, pieces, simhash, substrings, topk, toxicity, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_impact_topk, op3_covering_simhash, op4_hilbert_shards, op5_piece_viterbi, op6_line_frequency, op7_weak_toxicity, op8_suffix_family, op9_license_diagonals, op10_bestfit_packing, op12_byte_bpe)}
+    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_impact_topk, op3_covering_simhash, op4_hilbert_shards, op5_piece_viterbi, op6_line_frequency, op7_weak_toxicity, op8_suffix_family, op9_license_diagonals, op10_bestfit_packing, op12_byte_bpe, op13_spelling_variants)}
 
 
 _OP2 = """
