@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, fingerprints, hilbert, licenses, linefreq, packing, pieces, simhash, substrings, topk, toxicity, variants
+from . import bytebpe, divergence, fingerprints, hilbert, licenses, linefreq, packing, pieces, simhash, substrings, topk, toxicity, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -67,7 +71,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_impact_topk, op3_covering_simhash, op4_hilbert_shards, op5_piece_viterbi, op6_line_frequency, op7_weak_toxicity, op8_suffix_family, op9_license_diagonals, op10_bestfit_packing, op12_byte_bpe, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_impact_topk, op3_covering_simhash, op4_hilbert_shards, op5_piece_viterbi, op6_line_frequency, op7_weak_toxicity, op8_suffix_family, op9_license_diagonals, op10_bestfit_packing, op11_source_divergence, op12_byte_bpe, op13_spelling_variants)}
 
 
 _OP2 = """
@@ -97,6 +101,29 @@ select doc_id, source, cast(case when coalesce(text, '') = '' then 0 else len(ls
 from y
 """
 
+_OP11 = r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as doc,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+           from documents),
+o as (select lang, source, doc, unnest(terms) as term from d),
+k as (select lang, term, count(*) as c from o group by lang, term having count(distinct doc) >= 10),
+g as (select distinct lang, source from d),
+c as (select o.lang, o.source, o.term, count(*) as c from o join k on k.lang = o.lang and k.term = o.term group by o.lang, o.source, o.term),
+n as (select lang, source, sum(c) as n from c group by lang, source),
+v as (select lang, count(*) as v, sum(c) as n from k group by lang),
+s as (select g.lang, g.source, k.term, coalesce(c.c, 0) as c,
+             1 + (1000000000::hugeint * (coalesce(c.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * v.v)::hugeint as p, 1 + (1000000000::hugeint * (k.c + 2)) // (v.n + 2 * v.v)::hugeint as q
+      from g join k on k.lang = g.lang join v on v.lang = g.lang left join n on n.lang = g.lang and n.source = g.source
+      left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+w as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+      from s a join s b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+x as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(w.value, 0) as bigint) as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join w on w.lang = a.lang and w.source = a.source and w.item = b.source
+      union all select lang, source, 'term', term, cast(((p - q) * (p - q)) // (p + q) as bigint) from s where c > 0 and p > q),
+r as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from x)
+select * from r where part = 'pair' or rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_impact_topk": _OP2, "op6_line_frequency": _OP6}
+    return {"op2_impact_topk": _OP2, "op6_line_frequency": _OP6, "op11_source_divergence": _OP11}

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack.llm import fingerprints, hilbert, licenses, linefreq, packing, pieces, simhash, substrings, topk, toxicity
+from quillstack.llm import bytebpe, divergence, fingerprints, hilbert, licenses, linefreq, packing, pieces, simhash, substrings, topk, toxicity, variants
 
 from .helpers import DATA
 
@@ -21,10 +21,12 @@ def table(spark, rows, clash):
 
 
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SEED = toxicity.Model({"idiot": 4.0}, -2.0)
 OPERATORS = {
     "op1": fingerprints.fingerprint_with_edits, "op1 anchors": fingerprints.anchors, "op3": simhash.near_duplicates, "op4": hilbert.curve_shards, "op5": lambda d: pieces.encode_report(d, PIECE),
     "op5 ids": lambda d: pieces.encode_documents(d, PIECE), "op6": lambda d: linefreq.lines_left(d).select("row.doc_id", "row.text", "kept", "n_lines", "n_dropped"), "op7": lambda d: toxicity.score_documents(d, SEED),
+    "op12": lambda d: bytebpe.encode_report(d, BYTES, public_tokenizers.PATTERN), "op12 ids": lambda d: bytebpe.encode_documents(d, BYTES, public_tokenizers.PATTERN),
     "op8": substrings.remove_repeats, "op9": licenses.scan, "op10": lambda d: packing.pack_documents(d, WORD).drop("sequence_id", "offset"),
 }
 ORDER = lambda rows: sorted(rows, key=repr)
@@ -38,6 +40,17 @@ def test_operator(spark, name):
     assert run(table(spark, [], True)).collect() == []
 
 
+WITHOUT_IDS = {"op11": lambda d: divergence.source_divergence(d, min_docs=1), "op13": variants.spelling_variants}
+
+
+@pytest.mark.parametrize("name", WITHOUT_IDS)
+def test_operator_without_ids(spark, name):
+    run = WITHOUT_IDS[name]
+    plain, clash = (ORDER(tuple(r) for r in run(table(spark, ROWS, c)).collect()) for c in (False, True))
+    assert clash == plain and plain
+    assert run(table(spark, [], True)).collect() == []
+
+
 @pytest.mark.parametrize("k", range(4))
 def test_stage(spark, k):
     name, stage = corpus_pipeline.STAGES[k]
