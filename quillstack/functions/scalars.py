@@ -128,6 +128,16 @@ def safe_filename(c: Column | str) -> Column:
     return F.substring(F.regexp_replace(_s(c), f"(?U)[^\\w{CJK}.-]+", "_"), 1, 60)
 
 
+def strip_all(c: Column | str) -> Column:
+    """Without white space of any script at either end."""
+    return F.regexp_replace(_s(c), "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+
+
+def query_terms(c: Column | str) -> Column:
+    """search_terms() of a column."""
+    return F.filter(F.split(_s(c), "(?U)[\\s\\x1c-\\x1f,，;；、|]+"), lambda t: F.length(t) >= 3)
+
+
 def search_terms(query: str) -> list[str]:
     """Terms of a query for substring search: pieces of three characters at least."""
     import re

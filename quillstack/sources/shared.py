@@ -47,6 +47,14 @@ def sweep(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def epochs(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of a folder's parts epoch=N, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch="))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -5,11 +5,13 @@ An addition: a library of files has no stream of its own; its rule that a conten
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillstack.operators.gram_index import GramIndex
 from quillstack.operators.library import dedup_files
+from quillstack.sources.shared import epochs
 
 
 def landing(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -22,7 +24,7 @@ def ingest_once(stream: DataFrame, target: str, checkpoint: str, id_col: str = "
 
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        done = [f for f in _epochs(spark, target) if f < epoch]
+        done = [f for f in epochs(spark, target) if f < epoch]
         known = spark.read.parquet(*[f"{target}/epoch={f}" for f in done]).select("sha256") if done else None
         fresh = dedup_files(batch, known, text_col, id_col).filter("status = 'ok'").drop("status", "first")
         fresh.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
@@ -30,12 +32,17 @@ def ingest_once(stream: DataFrame, target: str, checkpoint: str, id_col: str = "
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _epochs(spark: SparkSession, target: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch="))
+def keep_index(stream: DataFrame, index: GramIndex, checkpoint: str, after: int = -1) -> StreamingQuery:
+    """Changes (id, text, version) put into an index, one epoch a batch, numbered on from `after`; a null text takes its row
+    out, and of several changes of one id in a batch the last version holds. A batch that runs again writes its epoch again."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        last = Window.partitionBy("id").orderBy(F.desc("version"))
+        now = batch.withColumn("n", F.row_number().over(last)).filter("n = 1").persist()
+        index.apply(now.filter("text is not null").select("id", "text"), after + 1 + number, now.filter("text is null").select("id"))
+        now.unpersist()
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
