@@ -21,16 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def place(spark: SparkSession, name: str = "part") -> str:
+    """A new path in the shared folder, which sweep() deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
 
     What was written stays until discard() or sweep(), since whoever holds a DataFrame over it may read it again.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 

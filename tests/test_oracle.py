@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillstack.plans import more_queries  # noqa: F401  registers its queries
+from quillstack.plans import index_queries, more_queries  # noqa: F401  they register their queries
 from quillstack.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
