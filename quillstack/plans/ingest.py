@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstack import hooks
 from quillstack.functions import scalars as X
-from quillstack.functions.text import chunk_documents, front_matter
+from quillstack.functions.front import front_matter
+from quillstack.functions.text import chunk_documents
 from quillstack.operators.library import dedup_files, missing, new_ids
 from quillstack.sources.library import SCHEMAS, Library
 from quillstack.sources.shared import cut

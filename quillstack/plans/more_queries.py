@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstack import hooks
 from quillstack.functions import scalars as X
+from quillstack.functions import front
 from quillstack.functions import text as T
 from quillstack.operators import evaluate, graph, library
 from quillstack.operators.vectors import vectors_from_bytes, vectors_to_bytes
@@ -270,19 +271,39 @@ def chunk_sections(spark, d):
     return T.chunk_documents(md).select("paper_id", "ord", "section", "page_start", "text")
 
 
-_FRONT = "concat('arXiv:2301.0', doc_id, chr(10), chr(10), 'A Study of Numbered Things', chr(10), 'and Their Relation ', case doc_id % 3 when 0 then 'One' when 1 then 'Two' else 'Three' end, chr(10), chr(10), case doc_id % 2 when 0 then 'Ada Lovelace1, Alan Turing2, Grace Hopper' else 'Shelley, Mary; Noether, Emmy' end, chr(10), 'University of Nowhere', chr(10), 'Abstract', chr(10), text)"
+_GIVEN, _FAMILY = "Ada Alan Grace Mary Emmy Élise José Anna-Maria Niels Ole Ivo".split(), "Lovelace Turing Hopper Shelley Noether Dupont García Weber Bohr Rømer Kovač O'Neil Åberg".split()
+_LIST = lambda words: "array('" + "', '".join(w.replace("'", "\\'") for w in words) + "')"
+_NAME = lambda k: (f"element_at({_LIST(_GIVEN)}, cast((doc_id * {2 * k + 3} + {k}) % {len(_GIVEN)} + 1 as int)) as g{k}", f"element_at({_LIST(_FAMILY)}, cast((doc_id div {k + 2} + 5 * {k}) % {len(_FAMILY)} + 1 as int)) as f{k}")
+_SQL_LIST = lambda words: "['" + "', '".join(w.replace("'", "''") for w in words) + "']"
+_SQL_NAME = lambda k: f"{_SQL_LIST(_GIVEN)}[(doc_id * {2 * k + 3} + {k}) % {len(_GIVEN)} + 1] || ' ' || {_SQL_LIST(_FAMILY)}[(doc_id // {k + 2} + 5 * {k}) % {len(_FAMILY)} + 1] as n{k}"
+_OWN = "concat('Words ', substr(regexp_replace(coalesce(text, ''), '[^a-z]', ''{g}), 1, cast(10 + doc_id % 13 as int)))"
 
 
-@query("""select doc_id as paper_id, concat('A Study of Numbered Things and Their Relation ', case doc_id % 3 when 0 then 'One' when 1 then 'Two' else 'Three' end) as title,
-case doc_id % 2 when 0 then 'Ada Lovelace; Alan Turing; Grace Hopper' else 'Mary Shelley; Emmy Noether' end as authors from documents""")
+@query(f"""with w as (select doc_id, {_OWN.format(g=", 'g'")} as own, {", ".join(map(_SQL_NAME, range(4)))} from documents)
+select doc_id as paper_id, trim(own) || ' of ' || (doc_id % 211) || case doc_id % 3 when 0 then '' when 1 then ' Which Goes On' else ' Which Goes On and On, Over a Third Line' end as title,
+array_to_string(list_filter([n0, n1, n2, n3][1:(case when doc_id % 6 = 5 then 0 else 1 + doc_id % 4 end)], lambda x, i: not list_contains([n0, n1, n2, n3][1:i - 1], x)), '; ') as authors from w""")
 def front_matter(spark, d):
-    return T.front_matter(table(spark, d, "documents").selectExpr("doc_id as id", f"{_FRONT} as text"))
+    """Titles of one to three lines with words of the document; no to four authors, in both ways of listing, one alone with a mark."""
+    rows = table(spark, d, "documents").selectExpr("doc_id as id", f"concat(trim({_OWN.format(g='')}), ' of ', doc_id % 211) as own", "doc_id", "text", *[x for k in range(4) for x in _NAME(k)])
+    n = F.when(F.col("doc_id") % 6 == 5, 0).otherwise(1 + F.col("doc_id") % 4).cast("int")
+    plain = F.array(*[F.concat(f"g{k}", F.lit(" "), f"f{k}", F.lit("1*")) for k in range(4)])
+    turned = F.array(*[F.concat(f"f{k}", F.lit(", "), f"g{k}") for k in range(4)])
+    people = F.when((F.col("doc_id") % 5 == 0) & (n > 1), F.array_join(F.slice(turned, F.lit(1), n), "; ")).otherwise(F.array_join(F.slice(plain, F.lit(1), n), ", "))
+    more = F.expr("case doc_id % 3 when 0 then '' when 1 then '\\nWhich Goes On' else '\\nWhich Goes On\\nand On, Over a Third Line' end")
+    text = F.concat(F.lit("arXiv:2301.0"), "doc_id", F.lit("\n\n"), "own", more, F.lit("\n\n"), people, F.lit("\nUniversity of Nowhere\nAbstract\n"), F.coalesce("text", F.lit("")))
+    return front.front_matter(rows.select("id", text.alias("text")))
 
 
-@query("""select doc_id as paper_id, case doc_id % 4 when 0 then 'A Given Title That Is Longer' when 1 then 'untitled' when 2 then 'Own Words of a Title' else 'Own Words of a Title, Which Goes On' end as title from documents""")
+_CUT = "case doc_id % 8 when 0 then left(own, cast(length(own) - 4 as int)) when 1 then left(own, cast(length(own) - 5 as int)) when 2 then left(own, 6) when 3 then left(own, 7) when 4 then concat(own, ' and More') when 5 then concat('Else', own) when 6 then '' else 'Another Title' end"
+
+
+@query(f"""with w as (select doc_id, trim({_OWN.format(g=", 'g'")}) as own from documents), g as (select doc_id, own, trim({_CUT}) as given from w),
+e as (select *, case when length(given) < 8 then own when starts_with(lower(own), lower(left(given, 24))) or starts_with(lower(given), lower(left(own, 24))) then case when length(own) >= length(given) then own else given end when length(own) > length(given) + 8 then own else given end as best from g)
+select doc_id as paper_id, case when length(given) > 6 and length(best) <= length(given) + 4 then given else best end as title from e""")
 def title_fallback(spark, d):
-    t = table(spark, d, "documents").selectExpr("doc_id as id", "case doc_id % 4 when 0 then '' when 1 then '12 - 3' else 'Own Words of a Title' end as text", "case doc_id % 4 when 0 then ' A Given Title That Is Longer ' when 1 then '' when 2 then 'short' else 'Own Words of a Title, Which Goes On' end as given")
-    return T.front_matter(t, title_col="given").select("paper_id", "title")
+    """Given titles on both sides of six characters and of four more, beside titles with words of the document."""
+    t = table(spark, d, "documents").selectExpr("doc_id", f"trim({_OWN.format(g='')}) as own").selectExpr("doc_id as id", "concat(own, '\n\nAbstract') as text", f"concat(' ', {_CUT}) as given")
+    return front.front_matter(t, title_col="given", fallback=True).select("paper_id", "title")
 
 
 @query("""with s as (select doc_id, regexp_extract_all(substr(text, 1, 3500), '[^.!?。！？]+[.!?。！？]')[1:3] as l from documents)

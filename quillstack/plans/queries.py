@@ -12,6 +12,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstack.functions import front
 from quillstack.functions import scalars as X
 from quillstack.functions import text as T
 from quillstack.operators import catalog, evaluate, graph, library, profile, search
@@ -331,7 +332,7 @@ def chunk_markdown(spark, d):
 
 @query()
 def extract_title_authors(spark, d):
-    return T.front_matter(_markdown(spark, d))
+    return front.front_matter(_markdown(spark, d))
 
 
 @query(f"with {P} select id, regexp_replace(lower(title), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]', '', 'g') as norm from papers")
