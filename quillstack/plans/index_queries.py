@@ -9,7 +9,8 @@ from quillstack.operators import evaluate
 from quillstack.operators.gram_index import GramIndex
 from quillstack.operators.vector_index import VectorIndex
 from quillstack.plans import batch
-from quillstack.plans.queries import C, PX, _chunk_vectors, chunks, indexed, papers, query, table, vectors
+from quillstack.plans.queries import C, PX, SQL, _chunk_vectors, chunks, citations, indexed, papers, query, table, vectors
+from quillstack.sources.buckets import BucketTable
 from quillstack.sources.shared import cut, place
 
 # ---- queries as rows: words of every benchmark passage, with the vector of the same number
@@ -104,6 +105,68 @@ def similarity_join(spark, d):
     return VectorIndex.build(vectors(spark, d), place(spark, "vectors")).similar(0.35, 3)
 
 
+# ---- tables by bucket: the rows of the whole-table changes, from touched buckets
+
+
+def _orders(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("v"))
+
+
+@query(SQL["insert_ignore"])
+def bucket_insert_ignore(spark, d):
+    o = _orders(spark, d)
+    t = BucketTable.create(o.filter("id % 2 = 0"), place(spark, "table"), "id")
+    t.insert_or_ignore(o.filter("id % 3 = 0").select("id", (F.col("v") + 1).alias("v")), ["id"], ["v"])
+    return t.read()
+
+
+@query(SQL["insert_replace"])
+def bucket_insert_replace(spark, d):
+    fresh = table(spark, d, "lineitem").filter("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("v"), F.struct("l_linenumber", "l_partkey").alias("at"))
+    t = BucketTable.create(_orders(spark, d), place(spark, "table"), "id")
+    t.insert_or_replace(fresh, ["id"], "at")
+    return t.read()
+
+
+@query(SQL["replace_chunks"])
+def bucket_replace_chunks(spark, d):
+    fresh = table(spark, d, "documents").filter("doc_id % 4 = 0").select((F.col("doc_id") * 1_000_000).alias("id"), F.col("doc_id").alias("paper_id"), F.lit("new").alias("text"))
+    t = BucketTable.create(chunks(spark, d).select("id", "paper_id", "text"), place(spark, "table"), "paper_id")
+    t.replace(fresh)
+    return t.read()
+
+
+@query(SQL["update_points"])
+def bucket_update_points(spark, d):
+    delta = table(spark, d, "labels").selectExpr("doc_id as id", "case when quality = 1 then 'New title' end as title", "case when toxic = 1 then 'New Author' end as authors")
+    t = BucketTable.create(papers(spark, d), place(spark, "table"), "id")
+    t.update_points(delta)
+    return t.read().select("id", "title", "authors")
+
+
+@query(SQL["replace_citations"])
+def bucket_replace_citations(spark, d):
+    c = citations(spark, d)
+    t = BucketTable.create(c, place(spark, "table"), "paper_id")
+    t.replace_citations(c.filter("paper_id < 5").withColumn("cid", F.col("cid") + 1000))
+    return t.read().select("cid", "paper_id", "direction")
+
+
+@query("select vec_id as id, len(embedding) as n from embeddings where vec_id not in (select doc_id from labels) union all select doc_id, 2 from labels where toxic = 0")
+def bucket_index_upsert(spark, d):
+    delta = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 0, F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")).alias("embedding"))
+    t = BucketTable.create(vectors(spark, d), place(spark, "table"), "id")
+    t.upsert_index(delta)
+    return t.read().select("id", F.size("embedding").cast("long").alias("n"))
+
+
+@query(SQL["delete_papers"])
+def bucket_delete_papers(spark, d):
+    t = BucketTable.create(chunks(spark, d).select("id", "paper_id", "text"), place(spark, "table"), "paper_id")
+    t.delete(table(spark, d, "labels").select(F.col("doc_id").alias("paper_id")))
+    return t.read().select("id")
+
+
 # ---- searching with all cases
 
 

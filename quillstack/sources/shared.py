@@ -60,7 +60,12 @@ def epochs(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch="))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    remove(spark, path)
     _written.get(spark.sparkContext.applicationId, set()).discard(path)
