@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import numbered
+from .selection import values_at
 
 
 def resolve_titles(expected: DataFrame, papers: DataFrame) -> DataFrame:
@@ -29,13 +29,12 @@ def summary(judged: DataFrame) -> DataFrame:
 
 def latency(times: DataFrame, col: str = "seconds") -> DataFrame:
     """Median and the value at place max(0, int(0.95 n) - 1) of the sorted times; null without times."""
-    v = numbered(times.select(F.col(col).cast("double").alias("v")).filter("v is not null"), ["v"])
-    n = v.agg(F.count("*").alias("n"))
-    at = lambda k: F.max(F.when(F.col("place") == k, F.col("v")))
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    # The places in question are looked up among rows numbered in ranges; each is one row.
-    s = v.crossJoin(F.broadcast(n)).agg(((at(low) + at(high)) / 2).alias("median"), at(F.greatest(F.lit(1), F.floor(0.95 * F.col("n")))).alias("p95"))
-    return s.select(F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
+    n = times.filter(F.col(col).isNotNull()).count()
+    low, high, late = (n + 1) // 2, n // 2 + 1, max(1, int(0.95 * n))
+    at = values_at(times, col, [low, high, late]) if n else {}
+    half = None if not n else (at[low] + at[high]) / 2
+    one = times.sparkSession.createDataFrame([(half, at.get(late))], "median double, p95 double")
+    return one.select(F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
 
 
 def gate(recall: float, least: float = 0.9) -> bool:
