@@ -9,6 +9,7 @@ from quillstack.functions.scalars import norm_doi, norm_name, norm_title
 from quillstack.sources.shared import cut, discard
 
 from .components import components
+from .containment import contained
 from .numbering import numbered
 
 GRAM, DIGITS = 12, 6
@@ -20,23 +21,21 @@ def resolve_citations(citations: DataFrame, papers: DataFrame, parity: bool = Fa
     """(row columns, target, tier): the paper each citation row means, by DOI (1), exact title (2), or containment
     of normalised titles of 12 characters at least (3); the first tier wins, then the smallest id.
 
-    citations need (cid, ext_id, title), papers (id, doi, title). Containment meets on the first 12 characters of
-    the shorter title against all 12-grams of the longer, so no pair of unrelated titles is looked at. parity
+    citations need (cid, ext_id, title), papers (id, doi, title). Different titles meet on the rarest piece of the shorter one. parity
     takes the alphabetically smaller title for the shorter. interleaved: the smallest id of any tier wins.
     """
     c = citations.select("cid", norm_doi("ext_id").alias("doi"), norm_title("title").alias("t"))
     p = papers.select("id", norm_doi("doi").alias("doi"), norm_title("title").alias("t"))
     by_doi = c.filter("doi <> ''").join(p.filter("doi <> ''").select("id", "doi"), "doi").select("cid", "id", F.lit(1).alias("tier"))
     exact = c.filter("t <> ''").join(p.filter("t <> ''").select("id", "t"), "t").select("cid", "id", F.lit(2).alias("tier"))
-    grams = lambda df: df.filter(F.length("t") >= GRAM).select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - GRAM + 1), lambda i: F.substring("t", i, F.lit(GRAM))))).alias("gram"))
-    heads = lambda df: df.filter(F.length("t") >= GRAM).withColumn("gram", F.substring("t", 1, GRAM))
-    named = lambda df, key, t: df.select(F.col(key), F.col("t").alias(t), "gram")
     # Either side may be the shorter one.
-    one = named(heads(c), "cid", "ct").join(named(grams(p), "id", "pt"), "gram").filter(F.contains("pt", "ct"))
-    two = named(grams(c), "cid", "ct").join(named(heads(p), "id", "pt"), "gram").filter(F.contains("ct", "pt"))
+    titles = lambda df: df.select("t")
+    one, two = contained(titles(c), titles(p), GRAM), contained(titles(p), titles(c), GRAM)
     if parity:
-        one, two = one.filter("ct <= pt"), two.filter("pt <= ct")
-    fuzzy = one.select("cid", "id").union(two.select("cid", "id")).distinct().select("cid", "id", F.lit(3).alias("tier"))
+        one, two = one.filter("s <= l"), two.filter("s <= l")
+    pairs = one.select(F.col("s").alias("ct"), F.col("l").alias("pt")).union(two.select(F.col("l").alias("ct"), F.col("s").alias("pt"))).distinct()
+    least = p.groupBy(F.col("t").alias("pt")).agg(F.min("id").alias("id"))  # of papers with one title the smallest id wins
+    fuzzy = c.select("cid", F.col("t").alias("ct")).join(pairs.join(least, "pt").groupBy("ct").agg(F.min("id").alias("id")), "ct").select("cid", "id", F.lit(3).alias("tier"))
     best = by_doi.union(exact).union(fuzzy).groupBy("cid").agg(F.min(F.struct("id", "tier") if interleaved else F.struct("tier", "id")).alias("m"))
     return citations.join(best, "cid").select(*citations.columns, F.col("m.id").alias("target"), F.col("m.tier").alias("tier"))
 
