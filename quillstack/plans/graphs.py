@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.operators import graph as G
 from quillstack.operators import profile as P
 from quillstack.operators.vectors import similarity_edges, vector_topk
 
+# Chunks of a call, characters of each, the relation that has no name.
+GROUP, EXTRACTED, RELATED = 3, 1400, "相关"
+
 
 def library_graph(lib, threshold: float = 0.55) -> tuple[DataFrame, DataFrame]:
     """Nodes (papers with counts and cluster) and edges (citation, similar)."""
@@ -27,9 +30,15 @@ def concept_graph(lib) -> tuple[DataFrame, DataFrame]:
 
 
 def entity_detail(lib, node: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The node, its neighbours, and the papers its edges come from."""
+    """The node, its neighbours, and the papers its edges come from: in the order in which edges first name them, as `seen` from 1,
+    where edges have an `ord`."""
     e = lib.kg_edges.filter((F.col("src") == node) | (F.col("dst") == node))
-    papers = lib.papers.join(e.select(F.col("paper_id").alias("id")).distinct(), "id", "left_semi").select("id", "title", "year")
+    if "ord" in e.columns:
+        first = e.groupBy(F.col("paper_id").alias("id")).agg(F.min("ord").alias("first"))
+        rows = lib.papers.select("id", "title", "year").join(first, "id")
+        papers = rows.withColumn("seen", F.row_number().over(Window.orderBy("first", "id"))).drop("first")  # one node's papers
+    else:
+        papers = lib.papers.join(e.select(F.col("paper_id").alias("id")).distinct(), "id", "left_semi").select("id", "title", "year")
     return lib.kg_nodes.filter(F.col("id") == node), G.entity_neighbors(lib.kg_edges, lib.kg_nodes, node), papers
 
 
@@ -66,6 +75,55 @@ def build_concepts(lib, extractor) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, edges, links
 
 
+def build_concepts_in_groups(lib, extractor, size: int = GROUP, chars: int = EXTRACTED) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, links, report) with one call of the extractor for `size` chunks of a paper that follow each other.
+
+    An entity belongs to the chunks whose normalised text holds its normalised name, or to the whole group where none does. Names are one
+    node across groups and papers, so a relation may name an entity of an earlier group; the first spelling, type and description
+    win in the order of papers, groups, entities before relations. An edge carries its group's first chunk. report: (paper_id, groups,
+    entities, relations, chunks_linked) of papers with an answer; a call that fails costs its group only.
+    """
+    import pyarrow as pa
+
+    from quillstack.functions.scalars import loose_json, norm_title
+    from quillstack.sources.shared import cut
+
+    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("ord", "id")) - 1
+    grouped = lib.chunks.select("paper_id", F.col("id").alias("chunk_id"), F.substring("text", 1, chars).alias("t"), place.alias("place"))
+    grouped = grouped.groupBy("paper_id", F.expr(f"place div {size}").alias("grp")).agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "t"))).alias("c"))  # `size` chunks at most
+
+    def run(batches):
+        for b in batches:
+            raw = []
+            for cell in b.column(2).to_pylist():
+                try:
+                    raw.append(extractor("\n\n".join(x["t"] or "" for x in cell)))
+                except Exception:
+                    raw.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.string())], ["paper_id", "grp", "c", "raw"])
+
+    cells = dict(grouped.dtypes)["c"]
+    answers = cut(grouped.mapInArrow(run, f"paper_id long, grp long, c {cells}, raw string"), "answers")
+    got = answers.select("paper_id", "grp", F.transform("c", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), norm_title(F.coalesce(x["t"], F.lit(""))).alias("t"))).alias("c"), loose_json("raw", "entities array<struct<name:string,type:string,desc:string>>, relations array<struct<source:string,target:string,relation:string>>").alias("j")).filter("j is not null")
+    nth = lambda late: F.struct("paper_id", "grp", F.lit(late).alias("late"), "pos")
+    entities = got.select("paper_id", "grp", "c", F.posexplode("j.entities").alias("pos", "e")).withColumn("key", norm_title("e.name")).filter(F.length("key") >= 2)
+    within = F.transform(F.filter("c", lambda x: F.contains(x["t"], F.col("key"))), lambda x: x["chunk_id"])
+    entities = cut(entities.select(nth(0).alias("ord"), "paper_id", "key", "e.name", F.coalesce("e.type", F.lit("concept")).alias("type"), F.coalesce("e.desc", F.lit("")).alias("desc"), F.when(F.size(within) > 0, within).otherwise(F.transform("c", lambda x: x["chunk_id"])).alias("chunks")), "concepts")
+    relations = got.select("paper_id", "grp", F.element_at("c", 1)["chunk_id"].alias("chunk_id"), F.posexplode("j.relations").alias("pos", "r")).withColumns({"sk": norm_title("r.source"), "tk": norm_title("r.target")})
+    relations = cut(relations.filter((F.length("sk") >= 2) & (F.length("tk") >= 2)).select(nth(1).alias("ord"), "paper_id", "chunk_id", "r.source", "r.target", F.coalesce("r.relation", F.lit(RELATED)).alias("relation"), "sk", "tk"), "concepts")
+    ends = relations.select("ord", F.posexplode(F.array("source", "target")).alias("side", "name"))
+    raw = entities.select(F.struct("ord", F.lit(0).alias("side")).alias("ord"), "name", "type", "desc").union(ends.select(F.struct("ord", "side").alias("ord"), "name", F.lit("concept"), F.lit("")))
+    nodes = cut(G.dedup_nodes(raw), "concepts")
+    key = nodes.select("id", F.col("name").alias("key"))
+    edge = relations.join(key.select(F.col("key").alias("sk"), F.col("id").alias("src")), "sk").join(key.select(F.col("key").alias("tk"), F.col("id").alias("dst")), "tk").filter("src <> dst")
+    edges = G.dedup_edges(edge.select("ord", "src", "dst", "relation", "paper_id", "chunk_id"))
+    linked = entities.select("paper_id", "key", F.explode("chunks").alias("chunk_id")).join(key, "key")
+    links = linked.groupBy("chunk_id").agg(F.sort_array(F.collect_set("id")).alias("node_ids"))
+    count = lambda df, name: df.groupBy("paper_id").agg(F.count("*").alias(name))
+    report = count(got, "groups").join(count(entities, "entities"), "paper_id", "left").join(count(edge, "relations"), "paper_id", "left").join(linked.groupBy("paper_id").agg(F.count_distinct("chunk_id").alias("chunks_linked")), "paper_id", "left")
+    return nodes, edges, links, report.na.fill(0)
+
+
 def overview(lib) -> dict:
     """The library's profile; every block is a few rows."""
     rows = lambda df: [r.asDict() for r in df.collect()]

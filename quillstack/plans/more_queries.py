@@ -364,3 +364,86 @@ def eval_gate(spark, d):
 # Queries registered without SQL that say what others here do, or more of it.
 SQL["reranked_search"] = SQL["rerank_hits"]
 SQL["library_graph_nodes"] = SQL["library_graph_papers"].replace("select p.id, p.year, substr(p.summary, 1, 220)", "select p.id, p.title, p.authors, p.year, p.venue, null::integer as cited_by_count, false as has_citations, substr(p.summary, 1, 220)")
+
+
+# ---- concepts by groups of chunks, fetched citations, backfill within a search
+
+_GROUPS = f"""{C}, placed as (select *, row_number() over (partition by paper_id order by ord, id) - 1 as spot from chunks), piece as (select paper_id, spot // 3 as grp, spot, id as chunk_id, substr(text, 1, 1400) as t from placed),
+grp as (select paper_id, grp, lower(string_agg(t, chr(10) || chr(10) order by spot)) as t, list(chunk_id order by spot) as ids, list(regexp_replace(lower(t), '[^a-z0-9\u4e00-\u9fff]', '', 'g') order by spot) as ts from piece group by 1, 2),
+hit as ({" union all ".join(f"select paper_id, grp, '{t}' as name, '{k}' as type, instr(t, '{t}') as at_, ids, ts from grp where contains(t, '{t}')" for t, k in _TERMS3.items())}),
+named as (select name, type, min((paper_id, grp, at_)) as first from hit group by name, type), kn as (select row_number() over (order by first) as id, name, type from named),
+said as (select h.*, kn.id, lead(kn.id) over (partition by paper_id, h.grp order by at_, h.name) as nxt from hit h join kn on kn.name = h.name),
+link as (select distinct paper_id, id, unnest(case when len(list_filter(ts, lambda x: contains(x, name))) > 0 then list_filter(list_transform(ids, lambda x, i: case when contains(ts[i], name) then x end), lambda x: x is not null) else ids end) as chunk_id from said)"""
+
+
+def _in_groups(spark, d):
+    return views.build_concepts_in_groups(SimpleNamespace(chunks=chunks(spark, d)), hooks.dictionary_extractor(_TERMS3))
+
+
+@query(f"with {_GROUPS} select id, name, type from kn")
+def concept_groups_nodes(spark, d):
+    return _in_groups(spark, d)[0].select("id", "name", "type")
+
+
+@query(f"with {_GROUPS} select id as src, nxt as dst, 'co-occurs' as relation, arg_min(paper_id, (paper_id, grp)) as paper_id, arg_min(ids[1], (paper_id, grp)) as chunk_id from said where nxt is not null group by id, nxt")
+def concept_groups_edges(spark, d):
+    return _in_groups(spark, d)[1].select("src", "dst", "relation", "paper_id", "chunk_id")
+
+
+@query(f"with {_GROUPS} select chunk_id, string_agg(cast(id as varchar), ',' order by id) as nodes from link group by chunk_id")
+def concept_groups_links(spark, d):
+    return _in_groups(spark, d)[2].select("chunk_id", F.array_join(F.col("node_ids").cast("array<string>"), ",").alias("nodes"))
+
+
+@query(f"""with {_GROUPS}, n as (select paper_id, count(*) as groups from grp group by 1), s as (select paper_id, count(*) as entities, count(nxt) as relations from said group by 1), l as (select paper_id, count(distinct chunk_id) as chunks_linked from link group by 1)
+select n.paper_id, groups, coalesce(entities, 0) as entities, coalesce(relations, 0) as relations, coalesce(chunks_linked, 0) as chunks_linked from n left join s on s.paper_id = n.paper_id left join l on l.paper_id = n.paper_id""")
+def concept_groups_report(spark, d):
+    return _in_groups(spark, d)[3]
+
+
+_SAID = """said as (select l_orderkey * 10000000 + l_partkey * 10 + l_linenumber as cid, (l_orderkey % 997) as paper_id, case when l_suppkey % 2 = 0 then 'refs' else 'cited' end as direction, concat('x', l_partkey % 40) as ext_id, concat('Title ', l_partkey) as title, cast(1990 + l_partkey % 30 as integer) as year, l_orderkey % 3 as src from lineitem),
+p1 as (select distinct paper_id from said where paper_id % 3 = 0), p2 as (select distinct paper_id from said where paper_id % 2 = 0), found as (select paper_id, 'primary' as source from p1 union all select paper_id, 'fallback' from p2 where paper_id not in (select paper_id from p1)),
+rows_ as (select s.* from said s join found f on f.paper_id = s.paper_id and ((f.source = 'primary' and src = 0) or (f.source = 'fallback' and src = 1)) where s.paper_id in (select id from papers)),
+kept as (select * from rows_ qualify row_number() over (partition by paper_id, direction, ext_id order by cid) = 1), got as (select * from found where paper_id in (select id from papers))"""
+
+
+def _fetch(spark, d):
+    s = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("cid"), (F.col("l_orderkey") % 997).alias("paper_id"), F.when(F.col("l_suppkey") % 2 == 0, "refs").otherwise("cited").alias("direction"),
+        F.concat(F.lit("x"), F.col("l_partkey") % 40).alias("ext_id"), F.concat(F.lit("Title "), "l_partkey").alias("title"), (1990 + F.col("l_partkey") % 30).cast("int").alias("year"), (F.col("l_orderkey") % 3).alias("src"),
+    )
+    known = lambda n: s.select("paper_id").distinct().filter(F.col("paper_id") % n == 0).select("paper_id", F.when(F.col("paper_id") % 5 > 0, F.col("paper_id").cast("int") * n).alias("cited_by_count"), F.when(F.col("paper_id") % 4 == 0, F.concat(F.lit("Fetched "), "paper_id")).alias("authors"))
+    p = papers(spark, d).withColumns({"cited_by_count": F.lit(None).cast("int"), "citations_fetched_at": F.lit(None).cast("timestamp")})
+    rows, found = sources.fetched(p, (s.filter("src = 0"), known(3)), (s.filter("src = 1"), known(2)))
+    return sources.apply_fetched(p, citations(spark, d).select("cid", "paper_id", "direction", "ext_id", "title"), p, rows, found)
+
+
+@query(f"with {P}, {_SAID} select id, coalesce(case when paper_id % 4 = 0 then concat('Fetched ', paper_id) end, authors) as authors, cast(case when paper_id % 5 > 0 then paper_id * case when g.source = 'primary' then 3 else 2 end end as integer) as cited_by_count, g.paper_id is not null as stamped from papers left join got g on g.paper_id = id")
+def fetched_papers(spark, d):
+    return _fetch(spark, d)[0].select("id", "authors", "cited_by_count", F.col("citations_fetched_at").isNotNull().alias("stamped"))
+
+
+@query(f"with {P}, {CIT}, {_SAID} select cid, paper_id, direction, ext_id, title from cit where paper_id not in (select paper_id from got) union all select cid, paper_id, direction, ext_id, title from kept")
+def fetched_citations(spark, d):
+    return _fetch(spark, d)[1]
+
+
+@query(f"""with {P}, {_SAID}, n as (select paper_id, count(*) filter (direction = 'refs') as refs, count(*) filter (direction = 'cited') as cited from rows_ group by 1), k as (select paper_id, count(*) as stored from kept group by 1)
+select id as paper_id, case when g.paper_id is null then 'not_found' else 'ok' end as status, coalesce(g.source, 'fallback') as source, coalesce(refs, 0) as refs, coalesce(cited, 0) as cited, coalesce(stored, 0) as stored, cast(case when g.paper_id % 5 > 0 then g.paper_id * case when g.source = 'primary' then 3 else 2 end end as integer) as cited_by_count, coalesce(case when g.paper_id % 4 = 0 then concat('Fetched ', g.paper_id) end, '') as authors
+from papers left join got g on g.paper_id = id left join n on n.paper_id = id left join k on k.paper_id = id""")
+def fetched_report(spark, d):
+    return _fetch(spark, d)[2]
+
+
+@query(f"with {_STAGE2.replace('b as (', 'near_ as (select id, sim from near union all select id, 1.0 from papers where id not in (select vec_id from embeddings)), b as (').replace('from near order by sim desc, id limit 30', 'from near_ order by sim desc, id limit 30', 1)}, best as ({_BOOST}), top as (select * from best order by score desc, paper_id limit 5) {_CARDS}")
+def search_driver_backfill(spark, d):
+    """Papers without a vector get one before the search, here that of the query."""
+    lib = SimpleNamespace(papers=papers(spark, d), chunks=chunks(spark, d), paper_vectors=vectors(spark, d), chunk_vectors=chunk_vectors(spark, d))
+    v = vector_of(spark, d)
+    return plan.search(spark, lib, "thing", 5, lambda texts: [v] * len(texts), backfill=True, year_min=2004)
+
+
+@query(f"with {P}, e as (select l_partkey as src, l_suppkey as dst, l_orderkey as paper_id, l_orderkey * 10 + 9 - l_linenumber as o from lineitem), f as (select paper_id, min(o) as o from e where src = 5 or dst = 5 group by 1) select p.id, title, year, cast(row_number() over (order by o, p.id) as integer) as seen from papers p join f on f.paper_id = p.id")
+def entity_papers_seen(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("relation"), F.col("l_orderkey").alias("paper_id"), (F.col("l_orderkey") * 10 + 9 - F.col("l_linenumber")).alias("ord"))
+    return views.entity_detail(SimpleNamespace(kg_edges=e, kg_nodes=kg(spark, d).kg_nodes, papers=papers(spark, d)), 5)[2]

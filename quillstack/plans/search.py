@@ -98,12 +98,14 @@ def rerank(hits: DataFrame, chunks: DataFrame, query: str, reranker: hooks.Reran
     return hits.drop("place").join(F.broadcast(new), "paper_id")
 
 
-def search(spark: SparkSession, lib, query: str, k: int = 5, embedder=None, reranker=None, rewriter=None, per_paper: bool = True, **filters) -> DataFrame:
-    """Cards of the k best papers of a Library. Filters: year_min, year_max, author, venue."""
+def search(spark: SparkSession, lib, query: str, k: int = 5, embedder=None, reranker=None, rewriter=None, per_paper: bool = True, backfill: bool = False, **filters) -> DataFrame:
+    """Cards of the k best papers of a Library. Filters: year_min, year_max, author, venue. backfill: papers without a vector get one
+    for this search (plans.ingest.backfill() keeps them)."""
     asked = variants(query, embedder, rewriter)
     allowed = S.meta_filter(lib.papers, **filters)
     papers = with_index_text(lib.papers)
-    found = two_stage(papers, lib.chunks, lib.paper_vectors, lib.chunk_vectors, asked, k, allowed) if per_paper else None
+    own = with_missing_vectors(papers, lib.paper_vectors, embedder) if backfill and embedder and per_paper else lib.paper_vectors
+    found = two_stage(papers, lib.chunks, own, lib.chunk_vectors, asked, k, allowed) if per_paper else None
     if found is None or found.isEmpty():  # the one decision that needs an action
         found = global_search(lib.chunks, lib.chunk_vectors, asked, max(2 * k, 8), allowed)
     best = rerank(found, lib.chunks, query, reranker, k)
@@ -114,6 +116,13 @@ def with_index_text(papers: DataFrame) -> DataFrame:
     return papers.withColumn("index_text", index_text("title", "authors", "topics", "abstract", "summary"))
 
 
+def with_missing_vectors(papers: DataFrame, vectors: DataFrame, embedder: hooks.Embedder) -> DataFrame:
+    """(id, embedding): the vectors, and new ones for papers that have none, from the first 2000 characters of their index text."""
+    rows = papers.join(vectors.select("id"), "id", "left_anti").select("id", F.substring("index_text", 1, 2000).alias("text"))
+    new = cut(hooks.embed_rows(rows, embedder), "vectors").filter("embedding is not null")
+    return vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).unionByName(new.select("id", F.col("embedding").cast("array<double>").alias("embedding")))
+
+
 def semantic_neighbors(vectors: DataFrame, papers: DataFrame, paper_id: int, query: Sequence[float], k: int = 5) -> DataFrame:
     """(id, title, year, similarity): of the 2k nearest other papers, k that exist."""
     near = vector_topk(vectors, query, 2 * k, exclude=paper_id)

@@ -101,3 +101,32 @@ def fetch_report(wanted: DataFrame, primary: DataFrame, fallback: DataFrame) ->
     n = lambda df, name: df.groupBy("paper_id").agg(F.count("*").alias(name))
     r = wanted.select(F.col("id").alias("paper_id")).join(n(primary, "a"), "paper_id", "left").join(n(fallback, "b"), "paper_id", "left")
     return r.select("paper_id", F.when(F.col("a").isNotNull(), "primary").when(F.col("b").isNotNull(), "fallback").otherwise("none").alias("source"), F.coalesce("a", "b", F.lit(0)).alias("n"))
+
+
+def fetched(wanted: DataFrame, primary: tuple[DataFrame, DataFrame], fallback: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows, found): what two sources say of wanted(id). A source is (rows(cid, paper_id, direction, ext_id, title, year), found(paper_id,
+    cited_by_count, authors)), found having the papers that it knows, with citations or without; the first that knows a paper
+    speaks for it. found gets `source`."""
+    want = wanted.select(F.col("id").alias("paper_id"))
+    first = primary[1].join(want, "paper_id", "left_semi").withColumn("source", F.lit("primary"))
+    second = fallback[1].join(want, "paper_id", "left_semi").join(first.select("paper_id"), "paper_id", "left_anti").withColumn("source", F.lit("fallback"))
+    found = first.unionByName(second)
+    of = lambda rows, got: rows.join(got.select("paper_id"), "paper_id", "left_semi").select("cid", "paper_id", "direction", "ext_id", "title", "year")
+    return of(primary[0], first).unionByName(of(fallback[0], second)), found
+
+
+def apply_fetched(papers: DataFrame, citations: DataFrame, wanted: DataFrame, rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(papers, citations, report) after a fetch. A found paper's citations are replaced, the first of equal (direction, ext_id) kept,
+    even by none; it is stamped, and its count and authors are overwritten where the source has them. Papers that no source knows
+    stay unstamped, so that they are asked for again. report: (paper_id, status, source, refs, cited, stored, cited_by_count, authors)."""
+    from quillstack.operators.graph import keep_first
+
+    kept = keep_first(rows, ["paper_id", "direction", "ext_id"], ["cid"])
+    after = citations.join(found.select("paper_id"), "paper_id", "left_anti").select(citations.columns).unionByName(kept.select(citations.columns))
+    f = found.select(F.col("paper_id").alias("id"), F.col("cited_by_count").alias("_n"), F.nullif(F.substring(F.col("authors"), 1, 300), F.lit("")).alias("_a"), F.lit(True).alias("_f"))
+    new = papers.join(f, "id", "left").withColumns({"cited_by_count": F.coalesce("_n", "cited_by_count"), "authors": F.coalesce("_a", "authors"), "citations_fetched_at": F.when(F.col("_f"), F.current_timestamp()).otherwise(F.col("citations_fetched_at"))})
+    said = rows.groupBy("paper_id").agg(F.count_if(F.col("direction") == "refs").alias("refs"), F.count_if(F.col("direction") == "cited").alias("cited"))
+    stored = kept.groupBy("paper_id").agg(F.count("*").alias("stored"))
+    report = wanted.select(F.col("id").alias("paper_id")).join(found, "paper_id", "left").join(said, "paper_id", "left").join(stored, "paper_id", "left")
+    report = report.select("paper_id", F.when(F.col("source").isNull(), "not_found").otherwise("ok").alias("status"), F.coalesce("source", F.lit("fallback")).alias("source"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("refs", "cited", "stored")], "cited_by_count", F.coalesce("authors", F.lit("")).alias("authors"))
+    return new.select(papers.columns), after, report

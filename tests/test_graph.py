@@ -187,3 +187,46 @@ def test_expand_in_order_query_sees_the_whole_graph(spark):
     scored = [tuple(x) for x in graph.seeds(g.kg_nodes, "red widget").select("id", "score").collect()]
     got = {x.id: x.score for x in queries.QUERIES["graph_expand_in_order"](spark, d).collect()}
     assert got == in_order(scored, edges) and len(got) == g.kg_nodes.count()
+
+
+def test_concepts_in_groups(spark):
+    """Three chunks a call; attribution by containment or to the group; names of earlier groups; a call that fails."""
+    import json
+    from types import SimpleNamespace
+
+    from quillstack.plans.graphs import build_concepts_in_groups
+
+    chunks = spark.createDataFrame([(10 + i, 1, i, t) for i, t in enumerate(["a Graph-RAG here", "nothing", "graph rag again", "second group", "fails?"])] + [(99, 2, 0, "FAIL")], "id long, paper_id long, ord int, text string")
+
+    def extractor(text):
+        if "FAIL" in text:
+            raise RuntimeError
+        if "second" in text:
+            return "noise " + json.dumps({"entities": [{"name": "Late"}, {"name": "x"}], "relations": [{"source": "Late", "target": "GRAPH RAG", "relation": "extends"}, {"source": "Late", "target": "late", "relation": "self"}, {"source": "Late", "target": "q", "relation": "short"}]})
+        return json.dumps({"entities": [{"name": "Graph RAG", "type": "method", "desc": "d"}, {"name": "Unsaid", "type": "task"}], "relations": [{"source": "Graph RAG", "target": "Other End"}]})
+
+    nodes, edges, links, report = build_concepts_in_groups(SimpleNamespace(chunks=chunks), extractor)
+    ids = {r["name"]: r["id"] for r in nodes.collect()}
+    got = {r["name"]: (r["display"], r["type"]) for r in nodes.collect()}
+    assert got["graphrag"] == ("Graph RAG", "method") and got["otherend"] == ("Other End", "concept") and "x" not in got
+    assert {r["chunk_id"]: set(r["node_ids"]) for r in links.collect()} == {10: {ids["graphrag"], ids["unsaid"]}, 11: {ids["unsaid"]}, 12: {ids["graphrag"], ids["unsaid"]}} | ({13: {ids["late"]}, 14: {ids["late"]}} if "late" in ids else {})
+    assert {(r["src"], r["dst"], r["relation"], r["chunk_id"]) for r in edges.collect()} == {(ids["graphrag"], ids["otherend"], "相关", 10)} | ({(ids["late"], ids["graphrag"], "extends", 13)} if "late" in ids else set())
+    rows = {r["paper_id"]: r.asDict() for r in report.collect()}
+    assert set(rows) == {1} and rows[1]["groups"] in (1, 2)
+
+
+def test_apply_fetched(spark):
+    """The first source that knows a paper speaks for it; a known paper without citations loses its old ones; unknown papers stay as they are."""
+    from quillstack.sources.library import apply_fetched, fetched
+
+    papers = spark.createDataFrame([(i, f"A{i}", None, None) for i in range(1, 5)], "id long, authors string, cited_by_count int, citations_fetched_at timestamp")
+    old = spark.createDataFrame([(i, i, "refs", "old", "t", None) for i in range(1, 5)], "cid long, paper_id long, direction string, ext_id string, title string, year int")
+    row = lambda cid, p, e: (cid, p, "cited", e, "T", 2000)
+    meta = "paper_id long, cited_by_count int, authors string"
+    primary = (spark.createDataFrame([row(12, 1, "x"), row(11, 1, "x"), row(13, 1, "y")], old.schema), spark.createDataFrame([(1, 7, "New"), (2, None, "")], meta))
+    fallback = (spark.createDataFrame([row(21, 1, "z"), row(22, 3, "z")], old.schema), spark.createDataFrame([(1, 8, "Not"), (3, None, None)], meta))
+    rows, found = fetched(papers, primary, fallback)
+    new, cits, report = apply_fetched(papers, old, papers, rows, found)
+    assert sorted((r["id"], r["authors"], r["cited_by_count"], r["citations_fetched_at"] is not None) for r in new.collect()) == [(1, "New", 7, True), (2, "A2", None, True), (3, "A3", None, True), (4, "A4", None, False)]
+    assert sorted((r["cid"], r["paper_id"], r["ext_id"]) for r in cits.collect()) == [(4, 4, "old"), (11, 1, "x"), (13, 1, "y"), (22, 3, "z")]
+    assert sorted((r["paper_id"], r["status"], r["source"], r["cited"], r["stored"]) for r in report.collect()) == [(1, "ok", "primary", 3, 2), (2, "ok", "primary", 0, 0), (3, "ok", "fallback", 1, 1), (4, "not_found", "fallback", 0, 0)]
