@@ -15,6 +15,7 @@ from __future__ import annotations
 import array
 import bisect
 import itertools
+import os
 import re
 import unicodedata
 import zlib
@@ -174,9 +175,12 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.ends_word = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith(self.tok.model.end_of_word_suffix or "")]] = True
         letter, number = _classes()
         self.plain = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-įĲ-ňŊ-ɏ]*")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^ \\t\\n\\r\\x0b\\x0c{letter}{number}]+")
@@ -193,7 +197,7 @@ class WordEncoder:
         """Texts together, so that their new words make one call of the tokenizer."""
         memo = self.memo
         split = [None if "<|" in t or not self.plain.fullmatch(t) else self.split.findall(t.lower()) for t in texts]
-        new = {w for words in split if words for w in words if w not in memo}
+        new = set().union(*[words for words in split if words]).difference(memo)
         long = self._learn(sorted(new)) if new else {}
         out = []
         for t, words in zip(texts, split):
@@ -202,7 +206,7 @@ class WordEncoder:
             elif long:
                 out.append(b"".join([memo[w] if w in memo else long[w] for w in words]))
             else:
-                out.append(b"".join([memo[w] for w in words]))
+                out.append(b"".join(map(memo.__getitem__, words)))
         if self.held > CACHE:  # words met early are the frequent ones
             self.memo = dict(itertools.islice(memo.items(), len(memo) // 3))
             self.held //= 3
@@ -213,14 +217,14 @@ class WordEncoder:
         long = {}
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
-            got = self.tok.encode(" ".join(part), add_special_tokens=False)
-            number = np.array(got.word_ids, np.int64)
-            ids = np.array(got.ids, np.uint32)
-            ends = np.searchsorted(number, np.arange(len(part) + 1))
-            apart = number.max(initial=-1) == len(part) - 1
-            for i, w in enumerate(part):
-                (self.memo if len(w) < 64 else long)[w] = ids[ends[i] : ends[i + 1]].tobytes() if apart else self.whole(w)
-                self.held += 200  # the two objects and their place in the table
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            apart = len(ends) == len(part)
+            flat, i = ids.tobytes(), 0
+            for w, j in zip(part, (4 * ends).tolist() if apart else itertools.repeat(0)):
+                (self.memo if len(w) < 64 else long)[w] = flat[i:j] if apart else self.whole(w)
+                i = j
+            self.held += 200 * len(part)  # the two objects and their place in the table
         return long
 
 
