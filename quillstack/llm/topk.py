@@ -13,7 +13,7 @@ The centres are fitted on at most SAMPLE vectors and decide on the work only, ne
 Defined results: vectors that are null or hold null, NaN or infinite components take no part; shorter vectors
 count as padded with zeros; an empty vector scores 0; a row never answers a query of its own id; equal scores go
 to the smaller id, repeated rows stay apart; an empty table gives no rows; other columns are not read, whatever their
-names. Exact while |scores| < 2**53.
+names. Exact for scores of 64 bits; components beyond 64 bits count as the nearest such number, and so do scores.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ SAMPLE, CENTRES = 4096, 256
 def quantise(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(vec_id, v array<long>): floor(scale * x) of each component; unusable vectors dropped."""
     x = F.col(quoted(vec_col)).cast("array<double>")
-    ok = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(1e300)))
+    ok = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return df.filter(ok & F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
@@ -43,8 +43,8 @@ def cut_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return cut(quantise(df, id_col, vec_col), "vectors")
 
 
-def _matrix(vectors, dim: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dim))
+def _matrix(vectors, dim: int, kind: type = np.float64) -> np.ndarray:
+    out = np.zeros((len(vectors), dim), kind)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v[:dim]
     return out
@@ -94,15 +94,16 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS, segments: int
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
-        m = _matrix(pdf["v"].to_list(), max(map(len, pdf["v"])))
-        row, dim = np.nonzero(m)
+        whole = _matrix(pdf["v"].to_list(), max(map(len, pdf["v"])), np.int64)
+        m = whole.astype(np.float64)
+        row, dim = np.nonzero(whole)
         value = m[row, dim]
         top = np.abs(value).max(initial=0)
         # Impact classes are equal steps of |value|; the last holds the smallest.
         level = np.minimum(((top - np.abs(value)) * segments / max(top, 1)).astype(np.int64), segments - 1)
         order = np.argsort(level, kind="stable")
         ends = np.searchsorted(level[order], np.arange(segments), "right")
-        out = {"block": int(pdf["block"].iloc[0]), "dim": m.shape[1], "ids": pdf["vec_id"].to_numpy(np.int64), "low": m.min(0), "high": m.max(0), "ends": ends.astype(np.int64), "rows": row[order].astype(np.int32), "dims": dim[order].astype(np.int32), "vals": value[order]}
+        out = {"block": int(pdf["block"].iloc[0]), "dim": m.shape[1], "ids": pdf["vec_id"].to_numpy(np.int64), "low": m.min(0), "high": m.max(0), "ends": ends.astype(np.int64), "rows": row[order].astype(np.int32), "dims": dim[order].astype(np.int32), "vals": whole[row, dim][order]}
         return pd.DataFrame([{c: x.tobytes() if isinstance(x, np.ndarray) else x for c, x in out.items()}])
 
     blocks = dealt.withColumn("block", (pick(first[:-1]) + F.pmod(F.xxhash64("vec_id", "v"), pick(parts))).cast("int"))
@@ -114,12 +115,13 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS, segments: int
 class Block:
     """A block read back. segments: of all chunks of queries that came to it; read: those that were added."""
 
-    TYPES = {"ids": np.int64, "low": np.float64, "high": np.float64, "ends": np.int64, "rows": np.int32, "dims": np.int32, "vals": np.float64}
+    TYPES = {"ids": np.int64, "low": np.float64, "high": np.float64, "ends": np.int64, "rows": np.int32, "dims": np.int32, "vals": np.int64}
 
     def __init__(self, row):
         for c, t in self.TYPES.items():
             setattr(self, c, np.frombuffer(row[c], t))
         self.dim = int(row["dim"])
+        self.whole, self.vals = self.vals, self.vals.astype(np.float64)
         self.square = np.bincount(self.rows, weights=self.vals**2, minlength=len(self.ids))
         self.segments = self.read = 0
 
@@ -132,27 +134,38 @@ class Block:
         out[self.rows[start:end], self.dims[start:end]] = self.vals[start:end]
         return out
 
-    def search(self, qids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def exact(self, q: np.ndarray, qi: np.ndarray, vi: np.ndarray) -> np.ndarray:
+        """Scores of pairs in whole numbers; in Python's where 64 bits might not hold the sum."""
+        full = np.zeros((len(self.ids), self.dim), np.int64)
+        full[self.rows, self.dims] = self.whole
+        room = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(self.vals).max(initial=0)) * max(1, self.dim)
+        if room < 2**62:
+            return np.concatenate([np.einsum("ij,ij->i", q[qi[s : s + 100_000]], full[vi[s : s + 100_000]]) for s in range(0, max(1, len(qi)), 100_000)])
+        most = 2**63 - 1
+        return np.array([max(-most - 1, min(most, sum(int(a) * int(b) for a, b in zip(q[i], full[j])))) for i, j in zip(qi, vi)], np.int64)
+
+    def search(self, qids: np.ndarray, whole: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k best rows that score `least` or more, for each query of a chunk: query ids, vector ids, scores."""
-        n, own, start = len(self.ids), qids[:, None] == self.ids[None, :], 0
+        n, own, start, q = len(self.ids), qids[:, None] == self.ids[None, :], 0, whole.astype(np.float64)
         norm, acc, rest, kk, maybe = np.sqrt((q * q).sum(1)), np.zeros((len(q), n)), self.square.copy(), min(k, n), ~own
         ends = np.unique(self.ends[self.ends > 0])
         self.segments += len(ends)
+        # What sums of rounded products may be off by.
+        off = 1e-6 + 1e-13 * (self.dim + 2) * norm[:, None] * np.sqrt(self.square)[None, :]
         for end in ends:
             acc += q @ self.dense(start, end).T
             rest -= np.bincount(self.rows[start:end], weights=self.vals[start:end] ** 2, minlength=n)
             start = end
             self.read += 1
-            bound = norm[:, None] * np.sqrt(np.maximum(rest, 0))[None, :] * (1 + 1e-9) + 1e-6
+            bound = norm[:, None] * np.sqrt(np.maximum(rest, 0))[None, :] * (1 + 1e-9) + off
             low = np.where(own, -np.inf, acc - bound)
-            kth = np.maximum(np.partition(low, n - kk, axis=1)[:, n - kk], least - 0.5)
+            kth = np.maximum(np.partition(low, n - kk, axis=1)[:, n - kk], least - 0.5 - 1e-12 * np.abs(least))
             maybe = ~own & (acc + bound >= kth[:, None])
             if maybe.sum(1).max() <= 8 * k + 32:
                 break
         qi, vi = np.nonzero(maybe)
-        full = self.dense(0, len(self.rows))
-        exact = np.concatenate([np.einsum("ij,ij->i", q[qi[s : s + 100_000]], full[vi[s : s + 100_000]]) for s in range(0, max(1, len(qi)), 100_000)]).round().astype(np.int64)
-        order = np.lexsort((self.ids[vi], -exact, qi))
+        exact = self.exact(whole, qi, vi)
+        order = np.lexsort((self.ids[vi], ~exact, qi))  # ~x orders as -x does, and has no overflow
         qi, vi, exact = qi[order], vi[order], exact[order]
         keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
         return qids[qi[keep]], self.ids[vi[keep]], exact[keep]
@@ -164,10 +177,11 @@ def _answers(qs: pd.DataFrame, ix: pd.DataFrame, k: int, report: bool) -> pd.Dat
         return pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
     block = Block(ix.iloc[0])
     width = max(block.dim, max(map(len, qs["v"])))
-    q, qids, least = _matrix(qs["v"].to_list(), width)[:, : block.dim], qs["query_id"].to_numpy(np.int64), qs["least"].to_numpy(np.float64)
+    q, qids, least = _matrix(qs["v"].to_list(), width, np.int64)[:, : block.dim], qs["query_id"].to_numpy(np.int64), qs["least"].to_numpy(np.float64)
     found = [(np.empty(0, np.int64),) * 3]
     # Scores are whole numbers: a bound below `least` by half is below it.
-    todo = np.flatnonzero(block.bounds(q) > least - 0.5)
+    bound = block.bounds(q.astype(np.float64))
+    todo = np.flatnonzero(bound + 1e-12 * np.abs(bound) > least - 0.5 - 1e-12 * np.abs(least))
     for at in range(0, len(todo), CHUNK):
         own = todo[at : at + CHUNK]
         found.append(block.search(qids[own], q[own], least[own], k))

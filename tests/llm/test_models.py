@@ -1,8 +1,10 @@
 """Vector search, toxicity and the pipeline."""
 
+import math
 import zlib
 
 import numpy as np
+import pytest
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
@@ -147,3 +149,29 @@ def test_topk_skips_by_proof(spark):
     got = topk.search(index, asked, report=True).toPandas().sum()
     assert got["skipped"] > 0.5 * got["queries"] and got["read"] < got["segments"] or got["skipped"] == got["queries"]
     assert sum(len(np.frombuffer(x.ids, np.int64)) for x in index.blocks.select("ids").collect()) == 1600
+
+
+@pytest.mark.parametrize("size", [3e5, 1e12, 1e15])
+def test_topk_of_large_components(spark, size):
+    """Scores that doubles do not hold are whole numbers all the same."""
+    r = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in np.round(r.uniform(-size, size, 24))]) for i in range(200)]
+    rows += [(500 + i, rows[i][1]) for i in range(5)]
+    q = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {tuple(x) for x in topk.search(topk.build_index(q, block_rows=60), q.filter("vec_id % 50 = 0")).collect()}
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    most = 2**63 - 1
+    want = set()
+    for i, v in whole.items():
+        if i % 50 == 0:
+            scores = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(v, w)))), j) for j, w in whole.items() if j != i)[:5]
+            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)}
+    if size < 1e12:
+        assert got == want
+    else:
+        assert {(i, n, s) for i, n, _, s in got} == {(i, n, s) for i, n, _, s in want}
+
+
+def test_topk_takes_every_finite_component(spark):
+    rows = [(0, [1.0]), (1, [1e301]), (2, [float("inf")]), (3, [float("nan")]), (4, [None]), (5, None)]
+    assert sorted(r["vec_id"] for r in topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()) == [0, 1]
