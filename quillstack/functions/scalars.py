@@ -114,7 +114,7 @@ def raw_tokens(c: Column | str) -> Column:
 
 def topic_term(token: Column | str) -> Column:
     """A raw token without dots and dashes at its ends; null for stop words and what is short then."""
-    t = F.regexp_replace(_s(token), "^[.-]+|[.-]+$", "")
+    t = F.btrim(_s(token), F.lit(".-"))
     latin = F.ascii(t).between(1, 127)
     return F.when(~latin | ((F.length(t) >= 3) & ~F.lower(t).isin(STOP_WORDS)), t)
 

@@ -29,7 +29,8 @@ def contained(shorts: DataFrame, longs: DataFrame, least: int = PIECE, frequent:
     while True:
         own = left.select("s", F.explode(pieces("s", width)).alias("piece"))
         there = longs.filter(F.length("l") >= width).select("l", F.explode(pieces("l", width)).alias("piece"))
-        held = there.groupBy("piece").agg(F.count("*").alias("n"))
+        # Of few short texts the pieces are few: long texts' pieces are then dropped where they are made.
+        held = there.join(own.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
         # min skips what no long text holds, so it is told apart by its count.
         rarest = own.join(held, "piece", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("m")).select("s", "m.n", "m.piece").filter("n > 0")
         rarest = cut(rarest, "rarest")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions.scalars import is_blank, parse_topics, raw_tokens, topic_term
+from quillstack.sources.shared import cut
 
 
 def library_stats(papers: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -41,10 +42,11 @@ def recent(papers: DataFrame, k: int = 5) -> DataFrame:
 def topic_counts(papers: DataFrame, *cols: str) -> DataFrame:
     """(term, n_occurrences, n_documents) over the text columns; spellings in different case are apart."""
     text = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in cols])
-    rows = papers.select(raw_tokens(text).alias("tokens"), F.monotonically_increasing_id().alias("row"))
-    found = rows.select("row", F.explode("tokens").alias("token")).select("row", topic_term("token").alias("term")).filter("term is not null")
-    per = found.groupBy("row", "term").agg(F.count("*").alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("n_occurrences"), F.count("*").alias("n_documents"))
+    terms = F.filter(F.transform(raw_tokens(text), topic_term), lambda t: t.isNotNull())
+    # Both counts are sums over terms, so only terms are shuffled, summed before.
+    one = lambda said, held: lambda t: F.struct(t.alias("term"), F.lit(said).alias("o"), F.lit(held).alias("d"))
+    found = papers.select(terms.alias("t")).select(F.explode(F.concat(F.transform("t", one(1, 0)), F.transform(F.array_distinct("t"), one(0, 1)))).alias("x")).select("x.*")
+    return found.groupBy("term").agg(F.sum("o").alias("n_occurrences"), F.sum("d").alias("n_documents"))
 
 
 def text_topics(counts: DataFrame, k: int = 12, pool: int = 512) -> list[tuple[str, int]]:
@@ -56,6 +58,7 @@ def text_topics(counts: DataFrame, k: int = 12, pool: int = 512) -> list[tuple[s
     kept: list[tuple[str, int]] = []
     lowered: list[str] = []
     seen = 0
+    counts = cut(counts, "topics")
     while True:
         rows = counts.orderBy(*order).limit(seen + pool).collect()[seen:]
         for r in rows:
