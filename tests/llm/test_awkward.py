@@ -40,7 +40,7 @@ def test_operator(spark, name):
     assert run(table(spark, [], True)).collect() == []
 
 
-WITHOUT_IDS = {"op11": lambda d: divergence.source_divergence(d, min_docs=1), "op13": variants.spelling_variants}
+WITHOUT_IDS = {"op11": lambda d: divergence.source_divergence(d.withColumn("source", F.when(F.col("doc_id") == 1, "a")), min_docs=1), "op13": variants.spelling_variants}
 
 
 @pytest.mark.parametrize("name", WITHOUT_IDS)
