@@ -2,8 +2,8 @@
 
 Queries are rows (case, v, text, vector): v numbers a case's variants, vector may be null. Lists, fusion, filters, pools and fallbacks go by
 (case, id) with ranks within a case, so the number of queries changes neither the plan nor the number of jobs. A search of one query
-is a table of one row. Filters are rows (case, id) of the papers that a case allows; a case without filters has none of them and is
-listed in `free`.
+is a table of one row. filters(case, filter) names the filter of a case, none for a case that allows all papers, and allowed(filter, id) has the
+papers that pass each filter, once each: as many rows as the filters pass, however many cases share them.
 """
 
 from __future__ import annotations
@@ -65,20 +65,20 @@ def best(rows: DataFrame, most: int, *order, within: str = "case", name: str = "
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(within).orderBy(*order))).filter(F.col(name) <= most)
 
 
-def passed(rows: DataFrame, allowed: DataFrame | None, free: DataFrame | None, key: str = "id") -> DataFrame:
-    """rows(case, key, ...) of allowed papers; all of a case in free(case)."""
-    if allowed is None:
+def passed(rows: DataFrame, filters: DataFrame | None, allowed: DataFrame | None, key: str = "id") -> DataFrame:
+    """rows(case, key, ...) of papers that pass their case's filter."""
+    if filters is None or allowed is None:
         return rows
-    in_filter = rows.join(allowed.select("case", F.col("id").alias(key)), ["case", key], "left_semi")
-    return in_filter if free is None else in_filter.unionByName(rows.join(free.select("case"), "case", "left_semi"))
+    ok = allowed.select("filter", F.col("id").alias(key), F.lit(True).alias("_ok"))
+    return rows.join(filters.select("case", "filter"), "case", "left").join(ok, ["filter", key], "left").filter("filter is null or _ok").select(*rows.columns)
 
 
-def candidates(index: SearchIndex, queries: DataFrame, allowed: DataFrame | None = None, free: DataFrame | None = None, pool: int = S.POOL) -> DataFrame:
+def candidates(index: SearchIndex, queries: DataFrame, filters: DataFrame | None = None, allowed: DataFrame | None = None, pool: int = S.POOL) -> DataFrame:
     """(case, id, score): each case's best papers. Filters apply after the lists are cut, as in a search of one query."""
     lists = [index.papers.topk(queries, ONE, S.FETCH, whole=True)]
     if index.paper_vectors:
         lists.append(index.paper_vectors.topk(queries, ONE, S.FETCH))
-    return best(passed(fused(lists), allowed, free), pool, F.desc("score"), "id").select("case", "id", "score")
+    return best(passed(fused(lists), filters, allowed), pool, F.desc("score"), "id").select("case", "id", "score")
 
 
 def chunk_hits(index: SearchIndex, queries: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -111,29 +111,29 @@ def by_paper(hits: DataFrame, keep: int) -> DataFrame:
     return best(got.select("case", "paper_id", "chunk_id", score.alias("score"), "matched"), keep, F.desc("score"), "paper_id").drop("place")
 
 
-def over_all(index: SearchIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None, free: DataFrame | None = None) -> DataFrame:
+def over_all(index: SearchIndex, queries: DataFrame, k: int, filters: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(case, paper_id, chunk_id, score, matched) from all chunks, the first of each paper. Under a filter, lists are fetched deep and
     filtered before they are cut."""
-    depth = S.FETCH if allowed is None else S.OVER_FETCH
+    depth = S.FETCH if filters is None else S.OVER_FETCH
     lists = [index.chunks.topk(queries, ONE, depth)]
     if index.chunk_vectors:
         lists.append(index.chunk_vectors.topk(queries, ONE, depth))
-    if allowed is not None:
+    if filters is not None:
         again = Window.partitionBy(*ONE).orderBy("rank")
         owned = [x.select(*ONE, "id", "rank").join(index.owners, "id") for x in lists]
-        lists = [passed(x, allowed, free, "paper_id").withColumn("rank", F.row_number().over(again)).filter(F.col("rank") <= S.FETCH) for x in owned]
+        lists = [passed(x, filters, allowed, "paper_id").withColumn("rank", F.row_number().over(again)).filter(F.col("rank") <= S.FETCH) for x in owned]
     pool = best(fused(lists), S.POOL, F.desc("score"), "id").drop("place").join(index.owners, "id")
     first = pool.withColumn("n", F.row_number().over(Window.partitionBy("case", "paper_id").orderBy(F.desc("score"), "id"))).filter("n = 1")
     return best(first, k, F.desc("score"), "paper_id").select("case", "paper_id", F.col("id").alias("chunk_id"), "score", F.lit(1).cast("long").alias("matched"))
 
 
-def search_all(index: SearchIndex, queries: DataFrame, k: int = 5, allowed: DataFrame | None = None, free: DataFrame | None = None) -> DataFrame:
+def search_all(index: SearchIndex, queries: DataFrame, k: int = 5, filters: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(case, rank, paper_id, chunk_id, score, matched), written: k papers a case in two stages; cases that these leave without a paper
     search all chunks. queries(case, v, text, vector), read several times: a table, or cut()."""
     keep = max(2 * k, 8)
-    chosen = cut(candidates(index, queries, allowed, free), "candidates")
+    chosen = cut(candidates(index, queries, filters, allowed), "candidates")
     staged = cut(by_paper(chunk_hits(index, queries, chosen), keep), "staged")
     left = cut(queries.join(staged.select("case").distinct(), "case", "left_anti"), "left")
-    every = staged.unionByName(over_all(index, left, keep, allowed, free)) if not left.isEmpty() else staged
+    every = staged.unionByName(over_all(index, left, keep, filters, allowed)) if not left.isEmpty() else staged
     ranked = best(every, k, F.desc("score"), "paper_id", name="rank")
     return cut(ranked.select("case", "rank", "paper_id", "chunk_id", "score", "matched"), "results")

@@ -58,10 +58,10 @@ def test_equals_single_searches(spark, lib, tmp_path, vectors):
     ids = {c: S.meta_filter(lib.papers, **f) for c, f in filters.items()}
     allowed = None
     for c, df in ids.items():
-        rows = df.select(F.lit(c).cast("long").alias("case"), "id")
+        rows = df.select(F.lit(10 * c).alias("filter"), "id")
         allowed = rows if allowed is None else allowed.union(rows)
-    free = spark.createDataFrame([(c,) for c in range(len(groups)) if c not in filters], "case long")
-    got = answers(batch.search_all(index, queries(spark, groups, vectors), 5, allowed.cache(), free))
+    of_cases = spark.createDataFrame([(c, 10 * c) for c in filters], "case long, filter int")
+    got = answers(batch.search_all(index, queries(spark, groups, vectors), 5, of_cases, allowed.cache()))
     for c, group in enumerate(groups):
         assert got.get(c, []) == one(spark, lib, group, vectors, ids.get(c)), group
     assert got[0] and not got.get(4)
