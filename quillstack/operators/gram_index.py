@@ -4,7 +4,7 @@ The folder holds, by epoch (one for each change):
 
     postings/epoch=E/bucket=B   gram, id, d, at     where a row holds a gram (lower case), d its number of grams, by gram within a bucket
     rows/epoch=E                id, d, tail, live   a row put in or taken out, once; tail: the text of a row too short for a gram
-    grams/epoch=E               gram, bucket        the grams there are, for queries shorter than one
+    grams/epoch=E               gram, bucket, n     the grams there are and the rows of each: for queries shorter than one, and to begin with the rarest
     totals/epoch=E              n, total            rows alive after this epoch, and their grams
 
 A term stands where every third of its grams, and the last, stand at their distances: their places tell its occurrences exactly, so no
@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.scalars import query_terms, strip_all
 from quillstack.operators.search import DIGITS, FETCH, K1, B
-from quillstack.sources.shared import cut, epochs
+from quillstack.sources.shared import cut, discard, epochs
 
 GRAM = 3
 #: Buckets of grams; rows of one file of a bucket, about; grams that a query may list as literals.
 BUCKETS, FILE_ROWS, LISTED = 64, 1 << 20, 2048
+#: Grams of a term, by rarity, up to which each round of a lookup goes; the last round has all that are left.
+ROUNDS = (2, 8, 1 << 30)
 
 
 def bucket_of(gram: Column, buckets: int) -> Column:
@@ -97,7 +99,7 @@ class GramIndex:
         spread = F.pmod(F.xxhash64("id"), F.lit(files))
         found = found.repartition(self.buckets * files if files > 1 else self.buckets, "bucket", spread).sortWithinPartitions("bucket", "gram", "id")
         found.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/epoch={epoch}")
-        self._write(self._read("postings", epoch).select("gram", "bucket").distinct(), "grams", epoch)
+        self._write(self._read("postings", epoch).groupBy("gram", "bucket").agg(F.count("*").alias("n")), "grams", epoch)
         self._write(self._totals(epoch), "totals", epoch)
 
     def _totals(self, epoch: int) -> DataFrame:
@@ -121,7 +123,7 @@ class GramIndex:
         kept = self._live(self._read("postings")).select("gram", "id", "d", "at", "bucket")
         kept = kept.repartition(self.buckets * files, "bucket", F.pmod(F.xxhash64("id"), F.lit(files))).sortWithinPartitions("bucket", "gram", "id")
         kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{out.path}/postings/epoch=0")
-        out._write(out._read("postings", 0).select("gram", "bucket").distinct(), "grams", 0)
+        out._write(out._read("postings", 0).groupBy("gram", "bucket").agg(F.count("*").alias("n")), "grams", 0)
         out._write(out._read("rows", 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("total")), "totals", 0)
         return out
 
@@ -131,7 +133,7 @@ class GramIndex:
     # ---- reading
 
     _SCHEMA = {
-        "postings": "gram string, id long, d int, at array<int>, epoch int, bucket int", "rows": "id long, d int, tail string, live boolean, epoch int", "grams": "gram string, bucket int, epoch int",
+        "postings": "gram string, id long, d int, at array<int>, epoch int, bucket int", "rows": "id long, d int, tail string, live boolean, epoch int", "grams": "gram string, bucket int, n long, epoch int",
         "totals": "n long, total long, epoch int",
     }
 
@@ -160,29 +162,60 @@ class GramIndex:
         """(rows, mean): how many rows there are, and the mean number of grams of one. One row."""
         return self._read("totals", self.epochs()[-1]).select(F.col("n").alias("rows"), F.try_divide("total", "n").alias("mean"))
 
-    def _found(self, need: DataFrame) -> DataFrame:
-        """Postings of need's grams (bucket, gram, ...). Buckets and grams that are few enough to list reach the scan as literals."""
+    def _found(self, need: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+        """Postings of need's grams (bucket, gram, ...), in rows ids(id, epoch) alone if given. Buckets and grams that are few enough to list
+        reach the scan as literals."""
         rows = self._read("postings")
         listed = need.select("gram", "bucket").distinct().limit(LISTED + 1).collect()
         if len(listed) <= LISTED:  # else the join alone selects
             rows = rows.filter(F.col("bucket").isin(sorted({r["bucket"] for r in listed})) & F.col("gram").isin(sorted(r["gram"] for r in listed)))
+        if ids is not None:
+            rows = rows.join(ids, ["id", "epoch"], "left_semi")
         return rows.join(need, ["bucket", "gram"])
 
     def occurrences(self, asked: DataFrame, by: Sequence[str] = ("q",)) -> DataFrame:
         """(by..., t, id, d, n): how often a row holds a term, overlaps counted. asked(by..., t, term): terms of three characters and
         more; a term is told by `by` and t."""
         by = list(by)
-        chars = F.split(F.lower("term"), "")
-        last = F.size("chars") - GRAM
+        asked = asked.select(*by, "t", F.lower("term").alias("term"))
+        # A term that many queries ask is looked up once.
         places = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("last"), F.lit(GRAM)), F.array("last")))
-        need = asked.withColumn("chars", chars).withColumn("last", last).filter("last >= 0").withColumn("places", places)
-        need = need.select(*by, "t", F.size("places").alias("parts"), F.explode("places").alias("off"), "chars")
-        need = need.select(*by, "t", "parts", "off", F.array_join(F.slice("chars", F.col("off") + 1, GRAM), "").alias("gram")).withColumn("bucket", bucket_of(F.col("gram"), self.buckets))
-        key = [*by, "t", "id", "epoch"]
-        hits = self._found(need).select(*key, "d", "parts", F.transform("at", lambda p: p - F.col("off")).alias("starts"))
-        whole = hits.groupBy(*key).agg(F.first("d").alias("d"), F.first("parts").alias("parts"), F.collect_list("starts").alias("s")).filter(F.size("s") == F.col("parts"))
-        starts = F.aggregate(F.slice("s", 2, F.size("s")), F.element_at("s", 1), lambda a, b: F.array_intersect(a, b))  # as many lists as the term has thirds
-        return self._live(whole.select(*key, "d", F.size(starts).cast("long").alias("n")).filter("n > 0")).select(*by, "t", "id", "d", "n")
+        need = asked.select("term").distinct().withColumn("chars", F.split("term", "")).withColumn("last", F.size("chars") - GRAM).filter("last >= 0").withColumn("places", places)
+        need = need.select("term", F.size("places").alias("parts"), F.explode("places").alias("off"), "chars")
+        need = need.select("term", "parts", "off", F.array_join(F.slice("chars", F.col("off") + 1, GRAM), "").alias("gram")).withColumn("bucket", bucket_of(F.col("gram"), self.buckets))
+        # Its rarest grams say which rows may hold it; only in these rows the others are looked at.
+        known = self._read("grams").groupBy("bucket", "gram").agg(F.sum("n").alias("n"))
+        rarest = Window.partitionBy("term").orderBy(F.coalesce("n", F.lit(0)), "off")
+        need = cut(need.join(known, ["bucket", "gram"], "left").withColumn("place", F.row_number().over(rarest)).drop("n"), "need")
+        longest = need.agg(F.max("place")).first()[0] or 0
+        key = ["term", "id", "epoch"]
+        begins = F.transform("at", lambda p: p - F.col("off")).alias("starts")
+        both = lambda a, b: F.array_intersect(a, b)
+        every = F.aggregate(F.slice("s", 2, F.size("s")), F.element_at("s", 1), both)  # as many lists as the round has grams of the term
+        hits, low = None, 1
+        for high in ROUNDS:
+            now, full = need.filter(F.col("place").between(low, high)), F.least("parts", F.lit(high)) - (low - 1)
+            if hits is None:
+                rows = self._found(now).select(*key, "d", "parts", begins)
+            else:
+                ids = cut(hits.filter(F.col("parts") >= low).select("id", "epoch").distinct(), "ids")
+                asks = hits.filter(F.col("parts") >= low).select(*key).join(now.select("term", "parts", "bucket", "gram", "off"), "term")
+                held = self._found(now.select("bucket", "gram").distinct(), ids)
+                rows = asks.join(held, ["bucket", "gram", "id", "epoch"]).select(*key, "d", "parts", begins)
+            whole = rows.groupBy(*key).agg(F.first("d").alias("d"), F.first("parts").alias("parts"), F.collect_list("starts").alias("s")).filter(F.size("s") == full)
+            whole = whole.select(*key, "d", "parts", every.alias("starts"))
+            if hits is not None:
+                done = hits.filter(F.col("parts") < low)
+                whole = done.unionByName(whole.join(hits.select(*key, F.col("starts").alias("before")), key).withColumn("starts", both(F.col("starts"), F.col("before"))).drop("before"))
+            whole, low = whole.filter(F.size("starts") > 0), high + 1
+            if longest < low:
+                hits = whole  # what the last round reads stays
+                break
+            last, hits = hits, cut(whole, "hits")
+            if last is not None:
+                discard(last, ids)
+        found = self._live(hits.select("term", "id", "epoch", "d", F.size("starts").cast("long").alias("n")))
+        return asked.join(found, "term").select(*by, "t", "id", "d", "n")
 
     def scores(self, hits: DataFrame, by: Sequence[str] = ("q",), allowed: DataFrame | None = None) -> DataFrame:
         """(by..., id, score): BM25 from occurrences(). allowed(by..., id) restricts rows, not corpus numbers."""
@@ -216,7 +249,7 @@ class GramIndex:
         by = list(by)
         asked = queries.select(*by, strip_all("text").alias("text"))
         terms = F.array("text") if whole else query_terms("text")
-        found = self.occurrences(asked.select(*by, F.posexplode(terms).alias("t", "term")), by)
+        found = cut(self.occurrences(asked.select(*by, F.posexplode(terms).alias("t", "term")), by), "found")
         best = Window.partitionBy(*by).orderBy(F.desc("score"), "id")
         first = cut(self.scores(found, by, allowed).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "first")
         other = self.containing(asked.join(first.select(*by).distinct(), by, "left_anti"), by)
