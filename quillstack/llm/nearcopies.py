@@ -1,4 +1,7 @@
-"""Near copies by exact Jaccard similarity of word shingles: a self-join with prefix filter.
+"""Near copies: covering simhash links, checked by exact Jaccard similarity of word shingles, and a self-join with prefix filter for the rest.
+
+Texts whose fingerprints lie within the radius meet by op3's covering masks. Similar texts whose fingerprints lie further apart meet by
+prefixes, so that none is missed. Either way a pair counts only once its similarity has been verified.
 
 Two sets with a similarity of 4/5 or more share one of the first n - ceil(4n/5) + 1 elements of either, under any
 order of all shingles, and after the first of them that they share, both have at least as many elements left as they
@@ -26,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, cut, discard, may_hold, mix64, sieve, slices, small_batches
 
 WORDS, SEED = 5, 42
@@ -74,7 +78,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles frequent in about SAMPLE rows, sorted, and their counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["h"])
 
@@ -221,15 +225,16 @@ def near_copies(docs: DataFrame, rows: bool = False) -> DataFrame:
             sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             # 32 bits tell buckets apart; sets that meet in one by chance are told apart later.
             heads = [(prefix(s, frequent, counts) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets]
+            fps = np.array([simhash.fingerprint(t.as_py(), WORDS) for t in b.column(2)], np.uint64)
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             flat = np.concatenate(heads) if heads else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([parities(s) for s in sets], pa.binary())], ["doc_id", "th", "sig", "n", "heads", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([parities(s) for s in sets], pa.binary()), pa.array(fps.view(np.int64))], ["doc_id", "th", "sig", "n", "heads", "bits", "fp"])
 
-    own = cut(docs.mapInArrow(run, "doc_id long, th long, sig long, n long, heads array<int>, bits binary"), "shingles")
+    own = cut(docs.mapInArrow(run, "doc_id long, th long, sig long, n long, heads array<int>, bits binary, fp long"), "shingles")
     # One row for all texts of equal shingles, known by their hash; the first of them lends its text.
-    sets = own.filter("doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "th", "n", "heads", "bits")).alias("r"))
+    sets = own.filter("doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "th", "n", "heads", "bits", "fp")).alias("r"))
     # Written numbers of the sets are short keys for all that follows.
-    sets = cut(sets.select(F.monotonically_increasing_id().alias("rep"), "sig", F.col("r.doc_id").alias("doc"), F.col("r.th").alias("rth"), "r.n", "r.heads", "r.bits"), "shingles")
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("rep"), "sig", F.col("r.doc_id").alias("doc"), F.col("r.th").alias("rth"), "r.n", "r.heads", "r.bits", "r.fp"), "shingles")
     heads = sets.select(F.posexplode("heads").alias("at", "h"), F.col("n").cast("int").alias("n"), "rep").select("h", "n", "at", "rep")
     met = cut(heads.repartition("h").sortWithinPartitions("h", "n", "rep").mapInArrow(_met, "a long, b long, h int"), "met")
     side = lambda c: sets.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
@@ -251,7 +256,10 @@ def near_copies(docs: DataFrame, rows: bool = False) -> DataFrame:
         return found
 
     named = lambda edges: components(edges).select(F.col("node").alias("rep"), "component")
-    found = verified(possible(met))
+    # Stars of the masks' clusters, and every set with the one that stands for its fingerprint.
+    fps = cut(sets.groupBy("fp").agg(F.min("rep").alias("rep")), "fps")
+    stars = simhash.links(fps).union(sets.select("fp", F.col("rep").alias("a")).join(fps.withColumnRenamed("rep", "b"), "fp").select("a", "b"))
+    found = verified(possible(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(met.select("a", "b"))))
     comp = named(found)
     # What large buckets have not proposed yet: pairs of different components.
     large = cut(met.filter("h is not null").select("h").distinct(), "large")

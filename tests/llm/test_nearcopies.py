@@ -6,7 +6,7 @@ import corpus_pipeline
 import pyarrow as pa
 import pytest
 
-from quillstack.llm import nearcopies
+from quillstack.llm import nearcopies, simhash
 
 from .helpers import DATA, awkward, frame
 from .test_documents import brute_components
@@ -87,3 +87,15 @@ def test_rows_of_one_id(spark):
     a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
     kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, [(1, a), (2, b), (2, a), (3, b + " more"), (None, a), (4, a.upper())]), DATA).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, a), (1, a), (2, b)]
+
+
+def test_covering_masks_link(spark, monkeypatch):
+    """Copies whose fingerprints lie within the radius are linked by the masks alone; those that are not similar stay."""
+    monkeypatch.setattr(nearcopies, "_met", lambda batches: iter(()))
+    r = random.Random(8)
+    a = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+    texts = [" ".join(a), " ".join([*a[:-1], "other"]), " ".join(a[:1500])]
+    x, y = (simhash.fingerprint(t, nearcopies.WORDS) for t in texts[:2])
+    assert 0 < (x ^ y).bit_count() <= simhash.RADIUS
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, list(enumerate(texts))), DATA).collect()
+    assert sorted(k.doc_id for k in kept) == [0, 2]
