@@ -28,6 +28,8 @@ from quillstack.sources.shared import cut, discard, epochs
 GRAM = 3
 #: Buckets of grams; rows of one file of a bucket, about; grams that a query may list as literals.
 BUCKETS, FILE_ROWS, LISTED = 64, 1 << 20, 2048
+#: How postings are written: ids and places as packed differences.
+DENSE = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
 #: Grams of a term, by rarity, up to which each round of a lookup goes; the last round has all that are left.
 ROUNDS = (2, 8, 1 << 30)
 
@@ -98,7 +100,7 @@ class GramIndex:
         files = max(1, -(-self._read("rows", epoch).count() // FILE_ROWS))
         spread = F.pmod(F.xxhash64("id"), F.lit(files))
         found = found.repartition(self.buckets * files if files > 1 else self.buckets, "bucket", spread).sortWithinPartitions("bucket", "gram", "id")
-        found.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/epoch={epoch}")
+        found.write.mode("overwrite").options(**DENSE).partitionBy("bucket").parquet(f"{self.path}/postings/epoch={epoch}")
         self._write(self._read("postings", epoch).groupBy("gram", "bucket").agg(F.count("*").alias("n")), "grams", epoch)
         self._write(self._totals(epoch), "totals", epoch)
 
@@ -122,7 +124,7 @@ class GramIndex:
         files = max(1, -(-out._read("rows", 0).count() // FILE_ROWS))
         kept = self._live(self._read("postings")).select("gram", "id", "d", "at", "bucket")
         kept = kept.repartition(self.buckets * files, "bucket", F.pmod(F.xxhash64("id"), F.lit(files))).sortWithinPartitions("bucket", "gram", "id")
-        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{out.path}/postings/epoch=0")
+        kept.write.mode("overwrite").options(**DENSE).partitionBy("bucket").parquet(f"{out.path}/postings/epoch=0")
         out._write(out._read("postings", 0).groupBy("gram", "bucket").agg(F.count("*").alias("n")), "grams", 0)
         out._write(out._read("rows", 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("total")), "totals", 0)
         return out
