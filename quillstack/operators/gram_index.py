@@ -1,15 +1,16 @@
-"""A stored index of three-character grams with their places: substring search by reading a few grams' files.
+"""A stored index of three-character grams: substring search by reading a few grams' files and the rows that these leave.
 
 The folder holds, by epoch (one for each change):
 
-    postings/epoch=E/bucket=B   gram, id, d, at     where a row holds a gram (lower case), d its number of grams, by gram within a bucket
-    rows/epoch=E                id, d, tail, live   a row put in or taken out, once; tail: the text of a row too short for a gram
-    grams/epoch=E               gram, bucket, n     the grams there are and the rows of each: for queries shorter than one, and to begin with the rarest
-    totals/epoch=E              n, total            rows alive after this epoch, and their grams
+    postings/epoch=E/bucket=B   gram, id                a gram (lower case) that a row holds, once, by gram within a bucket
+    rows/epoch=E                id, d, low, live        a row put in or taken out, once: its number of grams and its text in lower case
+    grams/epoch=E               gram, bucket, n         the grams there are and the rows of each: for queries shorter than one, and to begin with the rarest
+    totals/epoch=E              n, total                rows alive after this epoch, and their grams
 
-A term stands where every third of its grams, and the last, stand at their distances: their places tell its occurrences exactly, so no
-text is read. A search reads the buckets of its grams (partitions), and in them the row groups that hold them. A later epoch's
-row hides an earlier one's postings. An epoch is written whole, so one that runs again replaces itself; compact() makes one of all.
+The two rarest of a term's grams say which rows may hold it; its occurrences are counted in the texts of these rows. Places are not kept: they
+would take several times the text. A search reads the buckets of its grams (partitions), and in them the row groups that hold them.
+A later epoch's row hides an earlier one's postings. An epoch is written whole, so one that runs again replaces itself; compact() makes
+one of all. Postings are written in passes, so that one pass's share of them is shuffled at a time.
 """
 
 from __future__ import annotations
@@ -23,23 +24,25 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.scalars import query_terms, strip_all
 from quillstack.operators.search import DIGITS, FETCH, K1, B
-from quillstack.sources.shared import cut, discard, epochs
+from quillstack.sources.shared import cut, epochs, shuffles_end
 
 GRAM = 3
 #: Buckets of grams; rows of one file of a bucket, about; grams that a query may list as literals.
 BUCKETS, FILE_ROWS, LISTED = 64, 1 << 20, 2048
 #: How postings are written: ids and places as packed differences.
 DENSE = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
-#: Grams of a term, by rarity, up to which each round of a lookup goes; the last round has all that are left.
-ROUNDS = (2, 8, 1 << 30)
+#: A term's grams that are looked up: its rarest.
+RAREST = 2
+#: Passes in which postings are written, where there are more grams than these.
+PASSES, ONE_PASS = 4, 1 << 22
 
 
 def bucket_of(gram: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
 
 
-def postings(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(gram, id, d, at): each gram of a row once, with its places from 0. A batch's characters are sorted together."""
+def postings(rows: DataFrame, id_col: str = "id", text_col: str = "text", part: int = 0, of: int = 1) -> DataFrame:
+    """(gram, id): each gram of a row once, of the given part of all grams. A batch's characters are sorted together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -47,31 +50,36 @@ def postings(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
                 texts = b.column(1).to_pylist()
                 chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
                 size = np.fromiter(map(len, texts), np.int64, len(texts))
-                start = np.cumsum(size) - size
-                n = np.maximum(size - GRAM + 1, 0)
-                row = np.repeat(np.arange(len(texts)), n)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                first = start[row] + place
-                code = chars[first] << 42 | chars[first + 1] << 21 | chars[first + 2] if len(first) else first
-                order = np.lexsort((place, row, code))
-                code, row, place = code[order], row[order], place[order]
+                if len(chars) < GRAM:
+                    continue
+                code = chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:]
+                row = np.repeat(np.arange(len(texts)), size)[:-2]
+                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                own = place <= size[row] - GRAM  # within one text
+                if of > 1:
+                    own &= (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(of) == part
+                code, row = code[own], row[own]
+                order = np.argsort(code, kind="stable")  # rows stay in order
+                code, row = code[order], row[order]
                 new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])) if len(code) else np.empty(0, np.int64)
                 head = code[new]
                 letters = np.stack([head >> 42, head >> 21 & 0x1FFFFF, head & 0x1FFFFF], 1).astype(np.uint32)
                 joined = letters.tobytes().decode("utf-32-le")
                 grams = [joined[i : i + GRAM] for i in range(0, len(joined), GRAM)]
-                at = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(code)]]), pa.int32()), pa.array(place, pa.int32()))
-                owner = row[new]
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), b.column(0).take(pa.array(owner)), b.column(2).take(pa.array(owner)), at], ["gram", "id", "d", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), b.column(0).take(pa.array(row[new]))], ["gram", "id"])
 
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    return rows.select(F.col(id_col).cast("long").alias("id"), low.alias("low"), _length(F.col(text_col)).alias("d")).mapInArrow(run, "gram string, id long, d int, at array<int>")
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low")).mapInArrow(run, "gram string, id long")
 
 
 def _length(text: Column) -> Column:
     return F.greatest(F.length(F.coalesce(text, F.lit(""))) - (GRAM - 1), F.lit(0)).cast("int")
 
 
+def _standing(term: Column) -> Column:
+    """A pattern of no length that matches wherever a term begins."""
+    return F.concat(F.lit("(?=\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+
+
 class GramIndex:
     """An index in a folder. Ids are longs, one row each within an epoch."""
 
@@ -90,20 +98,26 @@ class GramIndex:
         """Put changes(id, text) in, in place of rows of the same ids, and take removed(id) out, as one epoch. Run again, it
         replaces what it wrote before. Only the changes' own postings are written."""
         rows = changes.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-        own = rows.select("id", _length(F.col("text")).alias("d"), F.when(F.length("text") < GRAM, F.lower("text")).alias("tail"), F.lit(True).alias("live"))
+        own = rows.select("id", _length(F.col("text")).alias("d"), F.lower("text").alias("low"), F.lit(True).alias("live"))
         if removed is not None:
             gone = removed.select(F.col("id").cast("long").alias("id")).join(own.select("id"), "id", "left_anti")
-            own = own.unionByName(gone.select("id", F.lit(0).alias("d"), F.lit(None).cast("string").alias("tail"), F.lit(False).alias("live")))
+            own = own.unionByName(gone.select("id", F.lit(0).alias("d"), F.lit(None).cast("string").alias("low"), F.lit(False).alias("live")))
         self._write(own, "rows", epoch)
-        found = postings(rows).withColumn("bucket", bucket_of(F.col("gram"), self.buckets))
-        # A bucket with a very common gram goes to several files.
-        files = max(1, -(-self._read("rows", epoch).count() // FILE_ROWS))
-        spread = F.pmod(F.xxhash64("id"), F.lit(files))
-        found = found.repartition(self.buckets * files if files > 1 else self.buckets, "bucket", spread).sortWithinPartitions("bucket", "gram", "id")
-        found.write.mode("overwrite").options(**DENSE).partitionBy("bucket").parquet(f"{self.path}/postings/epoch={epoch}")
+        n, total = self._read("rows", epoch).agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
+        passes = PASSES if total > ONE_PASS else 1
+        for k in range(passes):
+            self._write_postings(postings(self._read("rows", epoch).filter("live"), "id", "low", k, passes).withColumn("bucket", bucket_of(F.col("gram"), self.buckets)), epoch, n, k)
         self._write(self._read("postings", epoch).groupBy("gram", "bucket").agg(F.count("*").alias("n")), "grams", epoch)
         self._write(self._totals(epoch), "totals", epoch)
 
+    def _write_postings(self, found: DataFrame, epoch: int, n: int, k: int) -> None:
+        """Postings of n rows as pass k of an epoch: the first replaces what there was, the others add to it."""
+        # A bucket with a very common gram goes to several files.
+        files = max(1, -(-n // FILE_ROWS))
+        found = found.select("gram", "id", "bucket").repartition(self.buckets * files, "bucket", F.pmod(F.xxhash64("id"), F.lit(files))).sortWithinPartitions("bucket", "gram", "id")
+        with shuffles_end(self.spark):
+            found.write.mode("append" if k else "overwrite").options(**DENSE).partitionBy("bucket").parquet(f"{self.path}/postings/epoch={epoch}")
+
     def _totals(self, epoch: int) -> DataFrame:
         """Rows alive and their grams: those of the epoch before, with what this one's ids change."""
         now = self._read("rows", epoch)
@@ -119,23 +133,24 @@ class GramIndex:
     def compact(self, path: str) -> GramIndex:
         """The index in one epoch, in another folder: what later epochs hide is left out."""
         out = GramIndex(self.spark, path, self.buckets)
-        rows = self._last(self._read("rows")).filter("live")
-        out._write(rows.select("id", "d", "tail", "live"), "rows", 0)
-        files = max(1, -(-out._read("rows", 0).count() // FILE_ROWS))
-        kept = self._live(self._read("postings")).select("gram", "id", "d", "at", "bucket")
-        kept = kept.repartition(self.buckets * files, "bucket", F.pmod(F.xxhash64("id"), F.lit(files))).sortWithinPartitions("bucket", "gram", "id")
-        kept.write.mode("overwrite").options(**DENSE).partitionBy("bucket").parquet(f"{out.path}/postings/epoch=0")
+        last = self._last(self._read("rows")).filter("live").select("id", "epoch")
+        out._write(self._read("rows").join(last, ["id", "epoch"]).select("id", "d", "low", "live"), "rows", 0)
+        n, total = out._read("rows", 0).agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
+        passes = PASSES if total > ONE_PASS else 1
+        for k in range(passes):
+            out._write_postings(self._live(self._read("postings").filter(F.pmod("bucket", F.lit(passes)) == k)), 0, n, k)
         out._write(out._read("postings", 0).groupBy("gram", "bucket").agg(F.count("*").alias("n")), "grams", 0)
         out._write(out._read("rows", 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("total")), "totals", 0)
         return out
 
     def _write(self, df: DataFrame, part: str, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{part}/epoch={epoch}")
+        with shuffles_end(self.spark):
+            df.write.mode("overwrite").options(**DENSE).parquet(f"{self.path}/{part}/epoch={epoch}")
 
     # ---- reading
 
     _SCHEMA = {
-        "postings": "gram string, id long, d int, at array<int>, epoch int, bucket int", "rows": "id long, d int, tail string, live boolean, epoch int", "grams": "gram string, bucket int, n long, epoch int",
+        "postings": "gram string, id long, epoch int, bucket int", "rows": "id long, d int, low string, live boolean, epoch int", "grams": "gram string, bucket int, n long, epoch int",
         "totals": "n long, total long, epoch int",
     }
 
@@ -149,7 +164,7 @@ class GramIndex:
     @staticmethod
     def _last(rows: DataFrame) -> DataFrame:
         """Each id's row of its last epoch."""
-        got = rows.groupBy("id").agg(F.max_by(F.struct("d", "tail", "live"), "epoch").alias("r"), F.max("epoch").alias("epoch"))
+        got = rows.groupBy("id").agg(F.max_by(F.struct("d", "live"), "epoch").alias("r"), F.max("epoch").alias("epoch"))
         return got.select("id", "r.*", "epoch")
 
     def _live(self, hits: DataFrame) -> DataFrame:
@@ -164,15 +179,12 @@ class GramIndex:
         """(rows, mean): how many rows there are, and the mean number of grams of one. One row."""
         return self._read("totals", self.epochs()[-1]).select(F.col("n").alias("rows"), F.try_divide("total", "n").alias("mean"))
 
-    def _found(self, need: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-        """Postings of need's grams (bucket, gram, ...), in rows ids(id, epoch) alone if given. Buckets and grams that are few enough to list
-        reach the scan as literals."""
+    def _found(self, need: DataFrame) -> DataFrame:
+        """Postings of need's grams (bucket, gram, ...). Buckets and grams that are few enough to list reach the scan as literals."""
         rows = self._read("postings")
         listed = need.select("gram", "bucket").distinct().limit(LISTED + 1).collect()
         if len(listed) <= LISTED:  # else the join alone selects
             rows = rows.filter(F.col("bucket").isin(sorted({r["bucket"] for r in listed})) & F.col("gram").isin(sorted(r["gram"] for r in listed)))
-        if ids is not None:
-            rows = rows.join(ids, ["id", "epoch"], "left_semi")
         return rows.join(need, ["bucket", "gram"])
 
     def occurrences(self, asked: DataFrame, by: Sequence[str] = ("q",)) -> DataFrame:
@@ -183,40 +195,19 @@ class GramIndex:
         # A term that many queries ask is looked up once.
         places = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("last"), F.lit(GRAM)), F.array("last")))
         need = asked.select("term").distinct().withColumn("chars", F.split("term", "")).withColumn("last", F.size("chars") - GRAM).filter("last >= 0").withColumn("places", places)
-        need = need.select("term", F.size("places").alias("parts"), F.explode("places").alias("off"), "chars")
-        need = need.select("term", "parts", "off", F.array_join(F.slice("chars", F.col("off") + 1, GRAM), "").alias("gram")).withColumn("bucket", bucket_of(F.col("gram"), self.buckets))
-        # Its rarest grams say which rows may hold it; only in these rows the others are looked at.
+        need = need.select("term", F.explode("places").alias("off"), "chars").select("term", "off", F.array_join(F.slice("chars", F.col("off") + 1, GRAM), "").alias("gram"))
+        need = need.groupBy("term", "gram").agg(F.min("off").alias("off")).withColumn("bucket", bucket_of(F.col("gram"), self.buckets))
+        # Its rarest grams say which rows may hold it; their texts say how often.
         known = self._read("grams").groupBy("bucket", "gram").agg(F.sum("n").alias("n"))
         rarest = Window.partitionBy("term").orderBy(F.coalesce("n", F.lit(0)), "off")
-        need = cut(need.join(known, ["bucket", "gram"], "left").withColumn("place", F.row_number().over(rarest)).drop("n"), "need")
-        longest = need.agg(F.max("place")).first()[0] or 0
-        key = ["term", "id", "epoch"]
-        begins = F.transform("at", lambda p: p - F.col("off")).alias("starts")
-        both = lambda a, b: F.array_intersect(a, b)
-        every = F.aggregate(F.slice("s", 2, F.size("s")), F.element_at("s", 1), both)  # as many lists as the round has grams of the term
-        hits, low = None, 1
-        for high in ROUNDS:
-            now, full = need.filter(F.col("place").between(low, high)), F.least("parts", F.lit(high)) - (low - 1)
-            if hits is None:
-                rows = self._found(now).select(*key, "d", "parts", begins)
-            else:
-                ids = cut(hits.filter(F.col("parts") >= low).select("id", "epoch").distinct(), "ids")
-                asks = hits.filter(F.col("parts") >= low).select(*key).join(now.select("term", "parts", "bucket", "gram", "off"), "term")
-                held = self._found(now.select("bucket", "gram").distinct(), ids)
-                rows = asks.join(held, ["bucket", "gram", "id", "epoch"]).select(*key, "d", "parts", begins)
-            whole = rows.groupBy(*key).agg(F.first("d").alias("d"), F.first("parts").alias("parts"), F.collect_list("starts").alias("s")).filter(F.size("s") == full)
-            whole = whole.select(*key, "d", "parts", every.alias("starts"))
-            if hits is not None:
-                done = hits.filter(F.col("parts") < low)
-                whole = done.unionByName(whole.join(hits.select(*key, F.col("starts").alias("before")), key).withColumn("starts", both(F.col("starts"), F.col("before"))).drop("before"))
-            whole, low = whole.filter(F.size("starts") > 0), high + 1
-            if longest < low:
-                hits = whole  # what the last round reads stays
-                break
-            last, hits = hits, cut(whole, "hits")
-            if last is not None:
-                discard(last, ids)
-        found = self._live(hits.select("term", "id", "epoch", "d", F.size("starts").cast("long").alias("n")))
+        need = need.join(known, ["bucket", "gram"], "left").withColumn("place", F.row_number().over(rarest)).filter(F.col("place") <= RAREST)
+        # Occurrences overlap only where a term ends as it begins.
+        over = F.exists(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.left("term", i) == F.right("term", i))
+        need = cut(need.withColumn("parts", F.count("*").over(Window.partitionBy("term"))).select("term", "parts", over.alias("over"), "bucket", "gram"), "need")
+        maybe = self._found(need).groupBy("term", "id", "epoch").agg(F.count("*").alias("c"), F.first("parts").alias("parts"), F.first("over").alias("over")).filter("c = parts").select("term", "over", "id", "epoch")
+        texts = self._live(maybe).join(self._read("rows").filter("live").select("id", "epoch", "d", "low"), ["id", "epoch"]).filter(F.contains("low", "term"))
+        apart = F.expr("(octet_length(low) - octet_length(replace(low, term, ''))) div octet_length(term)")
+        found = texts.select("term", "id", "d", F.when(F.col("over"), F.regexp_count("low", _standing(F.col("term")))).otherwise(apart).cast("long").alias("n"))
         return asked.join(found, "term").select(*by, "t", "id", "d", "n")
 
     def scores(self, hits: DataFrame, by: Sequence[str] = ("q",), allowed: DataFrame | None = None) -> DataFrame:
@@ -242,7 +233,7 @@ class GramIndex:
         pieces = lambda c: F.array_distinct(F.filter(F.array(*[F.substring(c, i, n) for n in range(1, GRAM) for i in range(1, GRAM + 2 - n)]), lambda x: x != ""))
         grams = self._read("grams").select("gram", "bucket").distinct().withColumn("text", F.explode(pieces("gram"))).join(short, "text").select(*by, "gram", "bucket")
         inside = self._found(grams).select(*by, "id", "epoch")
-        ends = self._read("rows").filter("tail <> ''").select("id", "epoch", F.explode(pieces("tail")).alias("text")).join(short, "text").select(*by, "id", "epoch")
+        ends = self._read("rows").filter(f"length(low) between 1 and {GRAM - 1}").select("id", "epoch", F.explode(pieces("low")).alias("text")).join(short, "text").select(*by, "id", "epoch")
         return long.unionByName(self._live(inside.unionByName(ends).distinct()).select(*by, "id"))
 
     def topk(self, queries: DataFrame, by: Sequence[str] = ("q",), k: int = FETCH, whole: bool = False, allowed: DataFrame | None = None) -> DataFrame:

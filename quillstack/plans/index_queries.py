@@ -11,7 +11,7 @@ from quillstack.operators.vector_index import VectorIndex
 from quillstack.plans import batch
 from quillstack.plans.queries import C, PX, SQL, _chunk_vectors, chunks, citations, indexed, papers, query, table, vectors
 from quillstack.sources.buckets import BucketTable
-from quillstack.sources.shared import cut, place
+from quillstack.sources.shared import cut, place, remove
 
 # ---- queries as rows: words of every benchmark passage, with the vector of the same number
 
@@ -78,7 +78,9 @@ def gram_index_changes(spark, d):
     stale = docs.filter("id % 3 < 2").withColumn("text", F.when(F.col("id") % 5 == 0, F.concat(F.lit("stale thing "), F.reverse("text"))).otherwise(F.col("text")))
     index = GramIndex.build(stale, place(spark, "grams"))
     index.apply(docs.filter("id % 7 <> 3 and (id % 3 = 2 or id % 5 = 0)"), 1, docs.filter("id % 7 = 3").select("id"))
-    return _terms_topk(index.compact(place(spark, "grams")), spark, d)
+    one = index.compact(place(spark, "grams"))
+    remove(spark, index.path)
+    return _terms_topk(one, spark, d)
 
 
 @query("select b.item_id as case_id, d.doc_id as id from benchmark b join documents d on contains(lower(d.text), lower(b.text))")

@@ -154,3 +154,31 @@ def test_stream(spark, tmp_path):
 def test_empty(spark, tmp_path):
     index = GramIndex.build(frame(spark, [(1, "x")]).limit(0), str(tmp_path / "ix"))
     assert index.topk(asked(spark)).collect() == []
+
+
+def test_index_is_no_larger_than_a_few_texts(spark, tmp_path):
+    """Postings hold no places, and what a build shuffles is gone when it ends: the disk it takes stays near that of the texts."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(2000)]
+    rows = [(i, " ".join(r.choices(words, k=300))) for i in range(400)]
+    before = _shuffled(spark)
+    GramIndex.build(frame(spark, rows), str(tmp_path / "ix"), buckets=2)
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path / "ix/postings") for f in names)
+    assert size < 0.6 * sum(len(t) for _, t in rows)
+    assert _shuffled(spark) - before < 100_000
+
+
+def _shuffled(spark):
+    """Bytes of shuffle files on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return sum(os.path.getsize(f) for f in files if "/shuffle_" in f and os.path.exists(f))
+
+
+def test_passes(spark, tmp_path, monkeypatch):
+    """Postings written in several passes, by a build and by compaction, are those of one."""
+    from quillstack.operators import gram_index
+
+    monkeypatch.setattr(gram_index, "ONE_PASS", 1)
+    index = GramIndex.build(frame(spark, texts()), str(tmp_path / "ix"), buckets=8)
+    index.apply(frame(spark, [(1, "thing new")]), 1)
+    check(spark, index.compact(str(tmp_path / "one")), list((dict(texts()) | {1: "thing new"}).items()))
