@@ -25,18 +25,14 @@ from pyspark.sql import functions as F
 
 from quillstack.sources.shared import cut
 
+from .vectors import best_pairs, unit
+
 #: Rows of a block; clusters, at most; rows that centres are fitted on, at most, and rounds of fitting; queries of a block.
 BLOCK, CLUSTERS, SAMPLE, ROUNDS, ASKED = 4096, 1024, 16_384, 8, 1024
 #: Bounds are widened by what rounding to six places and sums of products may differ by.
 SLACK = 2e-6
 
 
-def unit(m: np.ndarray) -> np.ndarray:
-    """Rows at length one; a row of zeros stays."""
-    size = np.sqrt((m * m).sum(1))
-    return m / np.where(size == 0, 1.0, size)[:, None]
-
-
 def angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ centres.T, -1.0, 1.0))
 
@@ -222,16 +218,7 @@ class VectorIndex:
             p, q, ip, iq, parts = unit(np.array(x["v"].to_list())), unit(np.array(y["v"].to_list())), x["id"].to_numpy(), y["id"].to_numpy(), [out]
             one = (x["cluster"].iloc[0], x["block"].iloc[0]) == (y["cluster"].iloc[0], y["block"].iloc[0])
             for m, ids, n, others in ((p, ip, q, iq),) if one else ((p, ip, q, iq), (q, iq, p, ip)):
-                for at in range(0, len(m), 512):
-                    sim = np.round(m[at : at + 512] @ n.T, 6) + 0.0
-                    sim[ids[at : at + 512][:, None] == others[None, :]] = -2.0
-                    if k is not None and k < len(others):
-                        keep = np.lexsort((np.broadcast_to(others, sim.shape), -sim))[:, :k]
-                        i, j = np.repeat(np.arange(len(sim)), k), keep.ravel()
-                    else:
-                        i, j = np.nonzero(sim >= threshold)
-                    good = sim[i, j] >= threshold
-                    parts.append(pd.DataFrame({"a": ids[at : at + 512][i[good]], "b": others[j[good]], "sim": sim[i, j][good]}))
+                parts.append(pd.DataFrame(dict(zip(("a", "b", "sim"), best_pairs(m, ids, n, others, k, threshold, same=False)))))
             return pd.concat(parts)
 
         left = self.rows().withColumnsRenamed({"cluster": "ca", "block": "ba"}).join(both, ["ca", "ba"]).select("id", "v", F.col("ca").alias("cluster"), F.col("ba").alias("block"), "ca", "ba", "cb", "bb")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstack.operators.vector_index import VectorIndex
 
@@ -83,3 +84,31 @@ def test_similar(spark, tmp_path, k):
 def test_empty(spark, tmp_path):
     index = VectorIndex.build(spark.createDataFrame([], SCHEMA), str(tmp_path / "ix"))
     assert index.topk(spark.createDataFrame([(1, [1.0])], "q long, vector array<float>")).collect() == [] and index.similar(0.5).collect() == []
+
+
+def test_best_pairs():
+    """The few pairs multiplied in double are the same as by sorting all products, with ties and a bound."""
+    from quillstack.operators.vectors import best_pairs, unit
+
+    r = np.random.default_rng(5)
+    for m, n, d, tied in ((70, 900, 3, True), (40, 2, 4, False), (600, 500, 16, False)):
+        x, y = r.normal(size=(m, d)), r.normal(size=(n, d))
+        x, y = (unit(v.round(0) if tied else v) for v in (x, y))
+        ix, iy = r.permutation(2000)[:m], r.permutation(2000)[:n]
+        s = np.round(x @ y.T, 6) + 0.0
+        for k, least, same in ((1, None, True), (3, 0.35, True), (None, 0.35, False), (3, 0.35, False)):
+            want = set()
+            for i in range(m):
+                j = [j for j in np.lexsort((iy, -s[i])) if (same or ix[i] != iy[j]) and (least is None or s[i, j] >= least)]
+                want |= {(int(ix[i]), int(iy[j]), float(s[i, j])) for j in j[:k]}
+            assert set(zip(*(c.tolist() for c in best_pairs(x, ix, y, iy, k, least, same)))) == want
+
+
+def test_blocks_meet_once(spark, monkeypatch):
+    """Each pair of blocks is one task's, for the rows of both; a bound leaves out lesser pairs."""
+    from quillstack.operators.vectors import neighbours
+
+    rows = spark.range(600).select("id", F.array(*[F.sin(F.col("id") * (k + 1)) for k in range(8)]).alias("embedding"))
+    got = {(r["a"], r["b"], r["rank"]) for r in neighbours(rows, 3, block=100).collect()}
+    assert got == {(r["a"], r["b"], r["rank"]) for r in neighbours(rows, 3, block=1000).collect()} and len(got) == 1800
+    assert {r["a"] for r in neighbours(rows, 3, block=100, least=0.999999).collect()} == {r[0] for r in got}
