@@ -108,7 +108,7 @@ def test_blocks_meet_once(spark, monkeypatch):
     """Each pair of blocks is one task's, for the rows of both; a bound leaves out lesser pairs."""
     from quillstack.operators.vectors import neighbours
 
-    rows = spark.range(600).select("id", F.array(*[F.sin(F.col("id") * (k + 1)) for k in range(8)]).alias("embedding"))
+    rows = spark.range(1, 601).select("id", F.array(*[F.sin(F.col("id") * (k + 1)) for k in range(8)]).alias("embedding"))
     got = {(r["a"], r["b"], r["rank"]) for r in neighbours(rows, 3, block=100).collect()}
     assert got == {(r["a"], r["b"], r["rank"]) for r in neighbours(rows, 3, block=1000).collect()} and len(got) == 1800
     assert {r["a"] for r in neighbours(rows, 3, block=100, least=0.999999).collect()} == {r[0] for r in got}
