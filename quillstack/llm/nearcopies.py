@@ -6,12 +6,13 @@ prefixes, so that none is missed. Either way a pair counts only once its similar
 Two sets with a similarity of 4/5 or more share one of the first n - ceil(4n/5) + 1 elements of either, under any
 order of all shingles, and after the first of them that they share, both have at least as many elements left as they
 must share. Texts therefore meet in buckets by these elements and no such pair is missed. The order puts
-what is frequent in a sample last; the sample decides on the size of buckets only, never on the result.
+what is frequent in a sample last, the sample being a fixed share of the rows, so that a bucket's size does not grow with
+them; the sample decides on the size of buckets only, never on the result.
 
 Small buckets propose their pairs. In large ones, which many copies of one text make, each text is proposed to the first
-and to the one before it only; once what is similar has been linked, large buckets propose the pairs that lie in
-different components, so that no link between components is missed and no group's pairs are all made. Proposed pairs
-are dropped where BITS parities of their sets differ in more places than similar sets may differ in elements; the
+and to the one before it only. Once what is similar has been linked, large buckets propose to each row its nearest ones of other
+components, in rounds while that links any, and at last all pairs that still lie in different components, so that no
+link between components is missed and no group's pairs are all made. Proposed pairs are dropped where BITS parities of their sets differ in more places than similar sets may differ in elements; the
 others are verified on their texts.
 
 Defined results: words as in simhash; a text of fewer than five words is one shingle; texts of equal shingles, those
@@ -35,14 +36,18 @@ from .common import components, cut, discard, may_hold, mix64, sieve, slices, sm
 WORDS, SEED = 5, 42
 #: The least similarity, as a fraction.
 PART, WHOLE = 4, 5
-#: Rows that are sampled for frequent shingles, and in how many of them one is frequent.
-SAMPLE, FREQUENT = 4096, 3
+#: One of so many rows is sampled for frequent shingles, but SAMPLE rows at least; in how many of them one is frequent.
+SHARE, SAMPLE, FREQUENT = 8, 4096, 3
+#: Cells of the table that orders shingles, and how many of them may be taken, else only more frequent ones count.
+CELLS, TAKEN = 1 << 23, 1 << 21
 #: Buckets up to this size emit their pairs.
 BUCKET = 32
 #: Rows of one bucket that a task looks at together when it proposes pairs along it.
 ROWS = 65_536
 #: Parities kept of a set, by the hashes' last bits.
 BITS = 512
+#: Rows of other components that a row is proposed to in one round, and rounds, before all that are left are proposed.
+NEAREST, ROUNDS = 2, 4
 _P = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -66,29 +71,39 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return WHOLE * both >= PART * (len(a) + len(b) - both)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The elements of a set by which it meets all similar ones."""
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        s = s[np.lexsort((s, np.where(frequent[at] == s, counts[at], 0)))]
+def prefix(s: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The elements of a set by which it meets all similar ones: the first by the table's level and hash."""
+    level = table[(s % np.uint64(len(table))).astype(np.int64)]
+    if level.any():
+        s = s[np.lexsort((s, level))]
     return s[: len(s) - -(-PART * len(s) // WHOLE) + 1]
 
 
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles frequent in about SAMPLE rows, sorted, and their counts there."""
+def _levels(docs: DataFrame, cells: int = CELLS, taken: int = TAKEN) -> np.ndarray:
+    """The order of shingles as a table of fixed size: a hash's cell has the binary logarithm of its count in the sample, 0 where it
+    is not frequent there. Hashes that share a cell share a level, which leaves it one order for all sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t.as_py()) for t in b.column(0)]).view(np.int64))], ["h"])
 
-    share = min(1 << 20, -(-SAMPLE * (1 << 20) // max(1, docs.count())))
+    share = min(1 << 20, max((1 << 20) // SHARE, -(-SAMPLE * (1 << 20) // max(1, docs.count()))))
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share).select("text")
-    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).toArrow()
-    h, n = (found.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
-    h = h.view(np.uint64)
-    order = np.argsort(h)
-    return h[order], n[order]
+    # Unsigned: 2^64 is a multiple of the number of cells.
+    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    found = cut(found.select(F.pmod("h", F.lit(cells)).cast("int").alias("cell"), F.log2("n").cast("byte").alias("level")).groupBy("cell").agg(F.max("level").alias("level")), "levels")
+    sizes = sorted(((r["level"], r["n"]) for r in found.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = 64, 0  # no level
+    for level, n in sizes:
+        total += n
+        if total > taken:
+            break
+        least = level
+    held = found.filter(F.col("level") >= least).toArrow()  # `taken` rows of 5 bytes at most
+    discard(found)
+    table = np.zeros(cells, np.uint8)
+    table[held.column("cell").to_numpy()] = held.column("level").to_numpy()
+    return table
 
 
 def _may_match(n, at, x, y) -> np.ndarray:
@@ -98,12 +113,19 @@ def _may_match(n, at, x, y) -> np.ndarray:
     return (reach[x] >= PART * n[y]) & (reach[y] >= PART * n[x])
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """Whole numbers, or parities as rows of 64-bit words."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], columns: int, most: int | None = None) -> Iterator[list[np.ndarray]]:
     """Columns of rows sorted by the first one, in parts that hold whole runs of it. most: a run of more rows comes in
     parts, each but the first with the run's first row and the row before it in front."""
     held, first = None, None
     for b in batches:
-        cols = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)]
+        cols = [_values(b.column(i)) for i in range(columns)]
         if held is not None:
             cols = [np.concatenate(c) for c in zip(held, cols)]
         if not len(cols[0]):
@@ -145,9 +167,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, rep[own]]), pa.array(np.r_[b, rep[own]]), pa.array(np.r_[h[x[ok]], h[own]].astype(np.int32))], ["a", "b", "h"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of rows (h, n, at, rep, component) sorted by h and n: pairs of a bucket's rows in different components."""
-    for h, n, at, rep, comp in _buckets(batches, 5):
+def _across(batches: Iterator[pa.RecordBatch], nearest: int | None = None) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (h, n, at, rep, component, parities) sorted by h and n: pairs of a bucket's rows in different components that
+    may be similar. nearest: of each row outside the bucket's largest component so many at most, by parities."""
+    for h, n, at, rep, comp, bits in _buckets(batches, 6):
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         for s, e in zip(starts, np.r_[starts[1:], len(h)]):
             c = comp[s:e]
@@ -156,19 +179,29 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             # Two rows of different components: one of them is not of the largest one. Sizes leave each a run of partners,
             # the shorter the later the element by which it met them.
-            size, reach = n[s:e], WHOLE * n[s:e] - (PART + WHOLE) * at[s:e]
+            size, reach, own = n[s:e], WHOLE * n[s:e] - (PART + WHOLE) * at[s:e], bits[s:e]
             u = np.flatnonzero(index != count.argmax())
             lo = np.searchsorted(size, -(-PART * size[u] // WHOLE))
             many = np.maximum(np.searchsorted(size, reach[u] // PART, "right") - lo, 0)
             ends = np.cumsum(many)
             k = 0
             while k < len(u):
-                stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 2_000_000, "right")))
+                stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 200_000, "right")))
                 each = many[k:stop]
                 x = np.repeat(u[k:stop], each)
                 y = np.arange(each.sum()) + np.repeat(lo[k:stop] - np.r_[0, np.cumsum(each)[:-1]], each)
                 ok = (index[x] != index[y]) & (reach[y] >= PART * size[x])
-                a, b = rep[s + x[ok]], rep[s + y[ok]]
+                x, y = x[ok], y[ok]
+                apart = np.bitwise_count(own[x] ^ own[y]).sum(1, dtype=np.int64)
+                ok = (WHOLE + PART) * apart <= (WHOLE - PART) * (size[x] + size[y])
+                x, y = x[ok], y[ok]
+                if nearest is not None and len(x):
+                    order = np.lexsort((apart[ok], x))
+                    x, y = x[order], y[order]
+                    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                    ok = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)])) < nearest
+                    x, y = x[ok], y[ok]
+                a, b = rep[s + x], rep[s + y]
                 out = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
                 k = stop
@@ -217,14 +250,14 @@ def near_copies(docs: DataFrame, rows: bool = False) -> DataFrame:
     """(doc_id, component_id) of docs(doc_id, text), one row per input row: the smallest id that similar pairs lead to.
     rows: with `th`, the text's xxhash64, and `sig`, a hash of its shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    frequent, counts = _frequent(docs)
+    table = _levels(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [shingles(t.as_py()) for t in b.column(2)]
             sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             # 32 bits tell buckets apart; sets that meet in one by chance are told apart later.
-            heads = [(prefix(s, frequent, counts) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets]
+            heads = [(prefix(s, table) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets]
             fps = np.array([simhash.fingerprint(t.as_py(), WORDS) for t in b.column(2)], np.uint64)
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             flat = np.concatenate(heads) if heads else np.empty(0, np.int32)
@@ -261,13 +294,29 @@ def near_copies(docs: DataFrame, rows: bool = False) -> DataFrame:
     stars = simhash.links(fps).union(sets.select("fp", F.col("rep").alias("a")).join(fps.withColumnRenamed("rep", "b"), "fp").select("a", "b"))
     found = verified(possible(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(met.select("a", "b"))))
     comp = named(found)
-    # What large buckets have not proposed yet: pairs of different components.
+    # What large buckets have not proposed yet: pairs of different components. Each row meets its nearest ones first, so that
+    # components grow together before all pairs across them are made.
     large = cut(met.filter("h is not null").select("h").distinct(), "large")
-    rows_left = heads.join(large, "h", "left_semi").join(comp, "rep", "left").select("h", "n", "at", "rep", F.coalesce("component", "rep").alias("component"))
-    more = possible(rows_left.repartition("h").sortWithinPartitions("h", "n", "rep").mapInArrow(_across, "a long, b long"))
+    left = cut(heads.join(large, "h", "left_semi").join(sets.select("rep", "bits"), "rep"), "left")
     discard(met, large)
-    if not more.isEmpty():
-        comp = named(found.union(verified(more)))
+
+    def across(nearest: int | None) -> DataFrame:
+        rows_left = left.join(comp, "rep", "left").select("h", "n", "at", "rep", F.coalesce("component", "rep").alias("component"), "bits")
+        pairs = rows_left.repartition("h").sortWithinPartitions("h", "n", "rep").mapInArrow(lambda batches: _across(batches, nearest), "a long, b long")
+        return cut(pairs.distinct(), "pairs")
+
+    rounds = [None] + [NEAREST] * ROUNDS  # taken from the end
+    while rounds:
+        nearest = rounds.pop()
+        more = across(nearest)
+        if more.isEmpty():  # nothing is left across components
+            break
+        more = verified(more)
+        if more.isEmpty():
+            rounds = rounds[:1] if nearest else []
+        else:
+            found = found.union(more)
+            comp = named(found)
     name = sets.select("sig", "rep", "doc").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = name.groupBy("component").agg(F.min("doc").alias("component_id"))
     out = own.join(name.join(least, "component").select("sig", "component_id"), "sig", "left")

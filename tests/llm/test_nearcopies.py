@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -99,3 +100,36 @@ def test_covering_masks_link(spark, monkeypatch):
     assert 0 < (x ^ y).bit_count() <= simhash.RADIUS
     kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, list(enumerate(texts))), DATA).collect()
     assert sorted(k.doc_id for k in kept) == [0, 2]
+
+
+def proposed(sets, nearest=None):
+    """Pairs across components of one bucket, each set a component of its own."""
+    rows = sorted((len(s), i) for i, s in enumerate(sets))
+    cols = [np.zeros(len(sets), np.int64), [n for n, _ in rows], np.zeros(len(sets), np.int64), [i for _, i in rows], [i for _, i in rows]]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([nearcopies.parities(sets[i]) for _, i in rows], pa.binary())], ["h", "n", "at", "rep", "component", "bits"])
+    return [p for out in nearcopies._across(iter([batch]), nearest) for p in zip(*(c.to_pylist() for c in out.columns))]
+
+
+def test_pairs_across_components_are_few():
+    """Sets that share much but not enough make no pairs; similar ones make a few each in a round, and all of them at last."""
+    r = np.random.default_rng(5)
+    new = lambda n: r.integers(0, 2**63, n, dtype=np.uint64)
+    common = new(140)
+    assert proposed([np.unique(np.r_[common, new(60)]) for _ in range(300)]) == []
+    alike = [np.unique(np.r_[common, new(4)]) for _ in range(100)]
+    assert len(proposed(alike)) == 100 * 99 // 2
+    few = proposed(alike, nearcopies.NEAREST)
+    assert {i for p in few for i in p} == set(range(100)) and len(few) == len(set(few)) <= nearcopies.NEAREST * 100
+
+
+def test_frequent_shingles_come_last(spark):
+    """Frequent shingles have a level, unless more are frequent than the table takes; a prefix begins with the others."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, passage + " " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(64)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    table = nearcopies._levels(docs)
+    s, common = nearcopies.shingles(rows[0][1]), nearcopies.shingles(passage)
+    level = table[(common % np.uint64(len(table))).astype(np.int64)]
+    assert set(level) == {6} and np.count_nonzero(table) == 26
+    assert not np.intersect1d(nearcopies.prefix(s, table), common).size and np.intersect1d(nearcopies.prefix(s, np.zeros_like(table)), common).size
+    assert not nearcopies._levels(docs, taken=25).any()
