@@ -75,19 +75,10 @@ def build_concepts(lib, extractor) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, edges, links
 
 
-def build_concepts_in_groups(lib, extractor, size: int = GROUP, chars: int = EXTRACTED) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, links, report) with one call of the extractor for `size` chunks of a paper that follow each other.
-
-    An entity belongs to the chunks whose normalised text holds its normalised name, or to the whole group where none does. Names are one
-    node across groups and papers, so a relation may name an entity of an earlier group; the first spelling, type and description
-    win in the order of papers, groups, entities before relations. An edge carries its group's first chunk. report: (paper_id, groups,
-    entities, relations, chunks_linked) of papers with an answer; a call that fails costs its group only.
-    """
+def _answers(lib, extractor, size: int, chars: int) -> DataFrame:
+    """(paper_id, grp, c, raw): what the extractor says of each group of chunks c(place, chunk_id, t); null where its call failed."""
     import pyarrow as pa
 
-    from quillstack.functions.scalars import loose_json, norm_title
-    from quillstack.sources.shared import cut
-
     place = F.row_number().over(Window.partitionBy("paper_id").orderBy("ord", "id")) - 1
     grouped = lib.chunks.select("paper_id", F.col("id").alias("chunk_id"), F.substring("text", 1, chars).alias("t"), place.alias("place"))
     grouped = grouped.groupBy("paper_id", F.expr(f"place div {size}").alias("grp")).agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "t"))).alias("c"))  # `size` chunks at most
@@ -103,8 +94,49 @@ def build_concepts_in_groups(lib, extractor, size: int = GROUP, chars: int = EXT
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.string())], ["paper_id", "grp", "c", "raw"])
 
     cells = dict(grouped.dtypes)["c"]
-    answers = cut(grouped.mapInArrow(run, f"paper_id long, grp long, c {cells}, raw string"), "answers")
-    got = answers.select("paper_id", "grp", F.transform("c", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), norm_title(F.coalesce(x["t"], F.lit(""))).alias("t"))).alias("c"), loose_json("raw", "entities array<struct<name:string,type:string,desc:string>>, relations array<struct<source:string,target:string,relation:string>>").alias("j")).filter("j is not null")
+    return grouped.mapInArrow(run, f"paper_id long, grp long, c {cells}, raw string")
+
+
+def _parsed(answers: DataFrame) -> DataFrame:
+    """(paper_id, grp, c, j) of the answers that can be read, with the chunks' texts in their normal form."""
+    from quillstack.functions.scalars import loose_json, norm_title
+
+    return answers.select("paper_id", "grp", F.transform("c", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), norm_title(F.coalesce(x["t"], F.lit(""))).alias("t"))).alias("c"), loose_json("raw", "entities array<struct<name:string,type:string,desc:string>>, relations array<struct<source:string,target:string,relation:string>>").alias("j")).filter("j is not null")
+
+
+def concepts_in_groups_report(lib, extractor, size: int = GROUP, chars: int = EXTRACTED) -> DataFrame:
+    """The report of build_concepts_in_groups alone. Every name of two characters and more has a node, so that nodes need not be made
+    nor numbered to count: the answers are read once, and only counts and ids of chunks are summed up by paper."""
+    from quillstack.functions.scalars import norm_title
+
+    known = lambda name: F.length(norm_title(name)) >= 2
+
+    def chunks_of(e):
+        key = norm_title(e["name"])
+        within = F.filter("c", lambda x: F.contains(x["t"], key))
+        return F.transform(F.when(F.size(within) > 0, within).otherwise(F.col("c")), lambda x: x["chunk_id"])
+
+    rows = _parsed(_answers(lib, extractor, size, chars)).select(
+        "paper_id", "c", F.filter("j.entities", lambda e: known(e["name"])).alias("entities"),
+        F.filter("j.relations", lambda r: known(r["source"]) & known(r["target"]) & (norm_title(r["source"]) != norm_title(r["target"]))).alias("relations"),
+    )
+    rows = rows.select("paper_id", F.when(F.col("entities").isNull(), 0).otherwise(F.size("entities")).cast("long").alias("e"), F.when(F.col("relations").isNull(), 0).otherwise(F.size("relations")).cast("long").alias("r"), F.array_distinct(F.flatten(F.transform("entities", chunks_of))).alias("ids"))
+    counts = rows.groupBy("paper_id").agg(F.count("*").alias("groups"), F.sum("e").alias("entities"), F.sum("r").alias("relations"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))  # one paper's chunks
+    return counts.select("paper_id", "groups", "entities", "relations", F.size("ids").cast("long").alias("chunks_linked"))
+
+
+def build_concepts_in_groups(lib, extractor, size: int = GROUP, chars: int = EXTRACTED) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, links, report) with one call of the extractor for `size` chunks of a paper that follow each other.
+
+    An entity belongs to the chunks whose normalised text holds its normalised name, or to the whole group where none does. Names are one
+    node across groups and papers, so a relation may name an entity of an earlier group; the first spelling, type and description
+    win in the order of papers, groups, entities before relations. An edge carries its group's first chunk. report: (paper_id, groups,
+    entities, relations, chunks_linked) of papers with an answer; a call that fails costs its group only.
+    """
+    from quillstack.functions.scalars import norm_title
+    from quillstack.sources.shared import cut
+
+    got = _parsed(cut(_answers(lib, extractor, size, chars), "answers"))
     nth = lambda late: F.struct("paper_id", "grp", F.lit(late).alias("late"), "pos")
     entities = got.select("paper_id", "grp", "c", F.posexplode("j.entities").alias("pos", "e")).withColumn("key", norm_title("e.name")).filter(F.length("key") >= 2)
     within = F.transform(F.filter("c", lambda x: F.contains(x["t"], F.col("key"))), lambda x: x["chunk_id"])

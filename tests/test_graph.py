@@ -215,6 +215,28 @@ def test_concepts_in_groups(spark):
     assert set(rows) == {1} and rows[1]["groups"] in (1, 2)
 
 
+def test_report_of_concepts_alone(spark, monkeypatch):
+    """The report by itself equals that of the whole build, and writes nothing."""
+    import json
+    from types import SimpleNamespace
+
+    from quillstack.plans import graphs
+    from quillstack.sources import shared
+
+    answers = [
+        {"entities": [{"name": "Graph RAG"}, {"name": "graph-rag"}, {"name": "Unsaid"}, {"name": "x"}, {}], "relations": [{"source": "Graph RAG", "target": "Other"}, {"source": "A b", "target": "ab"}, {"source": "Late", "target": "q"}, {"source": "Late"}]},
+        {"entities": []}, {"relations": [{"source": "one", "target": "two"}]}, {}, None,
+    ]
+    chunks = spark.createDataFrame([(100 * p + i, p, i, f"n{(p + i // 3) % 5} graph rag" if i % 2 else f"n{(p + i // 3) % 5}") for p in range(9) for i in range(p)], "id long, paper_id long, ord int, text string")
+    extractor = lambda text: json.dumps(answers[int(text[1])]) if answers[int(text[1])] is not None else "no"
+    lib = SimpleNamespace(chunks=chunks)
+    want = graphs.build_concepts_in_groups(lib, extractor)[3]
+    monkeypatch.setattr(shared, "cut", None)
+    got = graphs.concepts_in_groups_report(lib, extractor)
+    assert got.columns == want.columns and len(rows := sorted(map(tuple, want.collect()))) > 5 and len({r[1:] for r in rows}) > 3
+    assert sorted(map(tuple, got.collect())) == rows
+
+
 def test_apply_fetched(spark):
     """The first source that knows a paper speaks for it; a known paper without citations loses its old ones; unknown papers stay as they are."""
     from quillstack.sources.library import apply_fetched, fetched
