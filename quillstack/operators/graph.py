@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from quillstack.functions.scalars import norm_doi, norm_name, norm_title
 from quillstack.sources.shared import cut, discard
@@ -139,6 +140,8 @@ def dedup_edges(raw: DataFrame) -> DataFrame:
 
 
 SEEDS, MIN_SIM, DECAY, TOP_ENTITIES = 8, 0.42, 0.6, 12
+#: Shares of the edges, in order, at which expand_in_order() cuts them.
+PARTS = (1 / 64, 1 / 16, 1 / 8, 1 / 4)
 
 
 def seeds(nodes: DataFrame, query: str, near: DataFrame | None = None, parity: bool = False) -> DataFrame:
@@ -161,26 +164,42 @@ def expand(scored: DataFrame, edges: DataFrame, decay: float = DECAY) -> DataFra
     return scored.union(next_.join(scored.select("id"), "id", "left_anti"))
 
 
-def expand_in_order(scored: DataFrame, edges: DataFrame, decay: float = DECAY) -> DataFrame:
+def expand_in_order(scored: DataFrame, edges: DataFrame, decay: float = DECAY, parts: tuple[float, ...] = PARTS) -> DataFrame:
     """As expand(), but edges(ord, src, dst) are read once in order, of equal ord by ends, and nodes scored on the way
     pass it on. A node's score thus comes by its first edge to a node that was scored by an earlier one.
 
-    Found by rounds of joins: nodes reached by an earlier edge than known, or with another score, offer their later
-    edges to their neighbours, until none changes. Every round is written to the shared folder.
+    Edges are taken in parts that follow each other in order (a numeric ord is cut at these shares of the edges, any other is one part). What
+    one part has settled no later edge changes, so that of the next only edges to nodes not yet scored are kept. Within a
+    part, nodes reached by an earlier edge than known, or with another score, offer their later edges to their
+    neighbours, in rounds of joins, until none changes. Every round is written to the shared folder.
     """
-    e = edges.filter("src <> dst").select(F.struct("ord", "src", "dst").alias("at"))
-    both = cut(e.select("at", F.col("at.src").alias("a"), F.col("at.dst").alias("b")).union(e.select("at", "at.dst", "at.src")), "edges")
-    reached = cut(scored.select("id", F.lit(None).cast(both.schema["at"].dataType).alias("at"), "score"), "reached")
-    fresh = cut(reached, "fresh")
-    while not fresh.isEmpty():
-        offers = both.join(fresh.select(F.col("id").alias("a"), F.col("at").alias("since"), "score"), "a").filter("since is null or at > since")
-        best = offers.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("at", (decay * F.col("score")).alias("score"))).alias("m"))
-        known = reached.select("id", F.struct("at", "score").alias("had"))
-        better = best.join(known, "id", "left").filter("had is null or m.at < had.at or (m.at = had.at and m.score <> had.score)")
-        done, fresh = fresh, cut(better.select("id", "m.at", "m.score"), "fresh")
-        discard(done)
-        behind, reached = reached, cut(reached.join(fresh.select("id"), "id", "left_anti").unionByName(fresh), "reached")
-        discard(behind)
+    e = cut(edges.filter("src <> dst").select("ord", "src", "dst"), "edges")
+    cuts = e.agg(F.percentile_approx("ord", list(parts), 10_000)).first()[0] if isinstance(e.schema["ord"].dataType, NumericType) else None
+    ends = sorted(set(cuts or ()))
+    at = F.struct("ord", F.when(F.col("ahead"), F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("ahead"), F.col("b")).otherwise(F.col("a")).alias("dst"))
+    better = F.expr("m is not null and (had is null or m.at < had.at or (m.at = had.at and m.score <> had.score))")
+
+    def offers(both: DataFrame, since: DataFrame) -> DataFrame:
+        rows = both.join(since.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), at.alias("at"), "since", "score").filter("since is null or at > since")
+        return rows.groupBy("id").agg(F.min(F.struct("at", (decay * F.col("score")).alias("score"))).alias("m"))
+
+    reached = cut(scored.select("id", "score"), "reached")
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = e if low is None else e.filter(F.col("ord") > low)
+        part = part if high is None else part.filter((F.col("ord") <= high) | F.col("ord").isNull())
+        ways = F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("ahead")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("ahead"))))
+        both = part.select("ord", ways.alias("way")).select("ord", "way.*")
+        both = cut(both.join(reached.select(F.col("id").alias("b")), "b", "left_anti"), "edges")
+        first = offers(both, reached.withColumn("since", F.lit(None)))
+        turn, found = 0, cut(first.select("id", F.col("m").alias("had"), F.lit(0).alias("turn")), "found")
+        while not (fresh := found.filter(F.col("turn") == turn)).isEmpty():
+            turn += 1
+            best = offers(both, fresh.select("id", F.col("had.at").alias("since"), F.col("had.score").alias("score")))
+            behind, found = found, cut(found.join(best, "id", "full").select("id", F.when(better, F.col("m")).otherwise(F.col("had")).alias("had"), F.when(better, turn).otherwise(F.col("turn")).alias("turn")), "found")
+            discard(behind)
+        discard(both)
+        reached = reached.unionByName(found.select("id", "had.score"))
+    discard(e)
     return reached.select("id", F.round("score", DIGITS).alias("score"))
 
 

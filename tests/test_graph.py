@@ -178,6 +178,32 @@ def test_expand_in_order_by_rounds(spark):
         assert {x.id: x.score for x in got.collect()} == in_order(scored, edges)
 
 
+def test_expand_in_order_by_parts(spark, monkeypatch):
+    """Wherever the order is cut, also at equal places or for an order without numbers, the result is the same; and once nodes are
+    settled, no later edge to them is kept or rewritten."""
+    r = random.Random(4)
+    edges = [(r.randint(-40, 40), r.randrange(60), r.randrange(60)) for _ in range(180)]
+    scored, schema = spark.createDataFrame([(0, 1.0), (1, 0.5)], "id long, score double"), "ord long, src long, dst long"
+    df = spark.createDataFrame(edges, schema)
+    want = in_order([(0, 1.0), (1, 0.5)], edges)
+    assert 20 < len(want)
+    for e, parts in ((df, (0.5,)), (df, (0.3, 0.301, 0.9)), (df.withColumn("ord", F.struct("ord", F.lit("a"))), (0.5,))):
+        assert {x.id: x.score for x in graph.expand_in_order(scored, e, parts=parts).collect()} == want
+    assert graph.expand_in_order(scored, df.filter("false")).count() == 2
+    many = [(r.randint(0, 10**6), r.randrange(20), r.randrange(20)) for _ in range(4000)]
+    real, rows = graph.cut, []
+
+    def watch(part, name="part"):
+        out = real(part, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", watch)
+    got = graph.expand_in_order(scored, spark.createDataFrame(many, schema))
+    assert {x.id: x.score for x in got.collect()} == in_order([(0, 1.0), (1, 0.5)], many)
+    assert sum(rows) < 1.5 * len(many)
+
+
 def test_expand_in_order_query_sees_the_whole_graph(spark):
     from quillstack.plans import queries
 
