@@ -113,16 +113,23 @@ def entity_neighbors(edges: DataFrame, nodes: DataFrame, node: int) -> DataFrame
     return out.union(into).join(nodes.select("id", F.col("display").alias("name"), "type"), "id")
 
 
+def _linked(links: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, paper_id) of links(chunk_id, node_ids), a row a link; chunks meet before links are spread out. Unknown chunks have no paper."""
+    return links.join(chunks.select(F.col("id").alias("chunk_id"), "paper_id"), "chunk_id", "left").select(F.explode("node_ids").alias("id"), "paper_id")
+
+
 def entity_counts(links: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, n_chunks, n_papers, paper_ids) of links(chunk_id, node_ids): links whose chunk is unknown count as chunks."""
-    rows = links.select("chunk_id", F.explode("node_ids").alias("id")).join(chunks.select(F.col("id").alias("chunk_id"), "paper_id"), "chunk_id", "left")
-    return rows.groupBy("id").agg(F.count("*").alias("n_chunks"), F.count_distinct("paper_id").alias("n_papers"), F.sort_array(F.collect_set("paper_id")).alias("paper_ids"))
+    return _linked(links, chunks).groupBy("id").agg(F.count("*").alias("n_chunks"), F.count_distinct("paper_id").alias("n_papers"), F.sort_array(F.collect_set("paper_id")).alias("paper_ids"))
 
 
-def concept_topics(counts: DataFrame, nodes: DataFrame, limit: int = 16) -> DataFrame:
-    """(name, type, n_chunks, n_papers): the 3 * limit most linked nodes, those without papers dropped, by papers."""
-    top = counts.orderBy(F.desc("n_chunks"), "id").limit(3 * limit).filter("n_papers > 0")
-    named = top.join(nodes.select("id", F.col("display").alias("name"), "type"), "id")
+def concept_topics(links: DataFrame, chunks: DataFrame, nodes: DataFrame, limit: int = 16) -> DataFrame:
+    """(name, type, n_chunks, n_papers): the 3 * limit most linked nodes, those without papers dropped, by papers. Papers are
+    counted for these nodes only."""
+    rows = _linked(links, chunks)
+    top = rows.groupBy("id").agg(F.count("*").alias("n_chunks")).orderBy(F.desc("n_chunks"), "id").limit(3 * limit)
+    papers = rows.filter("paper_id is not null").join(F.broadcast(top), "id").groupBy("id", "n_chunks").agg(F.count_distinct("paper_id").alias("n_papers"))
+    named = nodes.select("id", F.col("display").alias("name"), "type").join(F.broadcast(papers), "id")  # 3 * limit rows at most
     return named.select("name", "type", "n_chunks", "n_papers").orderBy(F.desc("n_papers"), F.desc("n_chunks"), "name").limit(limit)
 
 

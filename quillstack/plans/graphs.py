@@ -159,7 +159,7 @@ def build_concepts_in_groups(lib, extractor, size: int = GROUP, chars: int = EXT
 def overview(lib) -> dict:
     """The library's profile; every block is a few rows."""
     rows = lambda df: [r.asDict() for r in df.collect()]
-    topics = rows(G.concept_topics(G.entity_counts(lib.kg_chunk_links, lib.chunks), lib.kg_nodes))
+    topics = rows(G.concept_topics(lib.kg_chunk_links, lib.chunks, lib.kg_nodes))
     tags, terms = rows(P.user_tags(lib.papers)), P.text_topics(P.topic_counts(lib.papers, "title", "abstract", "summary"), 10)
     return {
         "stats": rows(P.library_stats(lib.papers, lib.chunks, lib.chunk_vectors))[0] | rows(P.year_span(lib.papers))[0],

@@ -215,6 +215,36 @@ def test_expand_in_order_query_sees_the_whole_graph(spark):
     assert got == in_order(scored, edges) and len(got) == g.kg_nodes.count()
 
 
+def test_concept_topics(spark):
+    """The most linked nodes, and their papers only; unknown chunks, chunks without paper, chunks named twice, unknown nodes, ties."""
+    r = random.Random(2)
+    links = [(c, sorted({min(r.randrange(40), r.randrange(40)) for _ in range(r.randint(0, 8))} | ({50} if c % 3 else {60}))) for c in range(200)]
+    chunks = [(c, c % 7 if c % 5 else None) for c in range(150) if c % 3 == 0] + [(0, 8), (3, 9)]
+    nodes = [(i, f"node {i % 30}", "t") for i in range(55)]
+    papers, n = {}, {}
+    for c, ids in links:
+        for i in ids:
+            n[i] = n.get(i, 0) + max(1, sum(k == c for k, _ in chunks))
+            papers.setdefault(i, set()).update(p for k, p in chunks if k == c and p is not None)
+    for limit in (2, 5, 16):
+        top = sorted(n, key=lambda i: (-n[i], i))[: 3 * limit]
+        want = sorted(((f"node {i % 30}", "t", n[i], len(papers[i])) for i in top if papers[i] and i < 55), key=lambda x: (-x[3], -x[2], x[0]))[:limit]
+        got = graph.concept_topics(spark.createDataFrame(links, "chunk_id long, node_ids array<long>"), spark.createDataFrame(chunks, "id long, paper_id long"), spark.createDataFrame(nodes, "id long, display string, type string"), limit)
+        assert [tuple(x) for x in got.collect()] == want and want
+
+
+def test_links_lie_in_bounded_partitions(spark, monkeypatch):
+    """However many rows adaptive execution would put together, a task gathers a bounded number of them."""
+    import functools
+
+    from quillstack.plans import queries
+
+    monkeypatch.setattr(queries, "spread", functools.partial(queries.spread, most=400))
+    links = queries.kg(spark, "/root/testdata/sf0.001").kg_chunk_links
+    sizes = [x["n"] for x in links.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.size("node_ids")).alias("n")).collect()]
+    assert len(sizes) == 6000 // 400 + 1 and max(sizes) < 2 * 400 and sum(sizes) > 5000
+
+
 def test_concepts_in_groups(spark):
     """Three chunks a call; attribution by containment or to the group; names of earlier groups; a call that fails."""
     import json
