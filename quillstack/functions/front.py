@@ -72,7 +72,7 @@ def lines(front: Column) -> Column:
 
 
 def shown(line: Column) -> Column:
-    """What a cleaned line shows: skip (before a title), stop (ends title and names), noted, byline, names."""
+    """What a cleaned line shows: skip (before a title), stop (ends title and names), heading (the text begins), noted, byline, names."""
     t = line["t"]
     stop = t.rlike(ABSTRACT) | t.rlike(EMAIL) | t.rlike(PLACE)
     people = line["people"]
@@ -82,7 +82,7 @@ def shown(line: Column) -> Column:
     single = (named == 1) & (F.size(people) == 1) & t.rlike(NOTE_MARKS)
     taken = F.filter(people, lambda p: is_name(p) | _words(p).rlike(_BEGINS_AS_NAME))
     return F.struct(
-        t.alias("t"), ((F.length(t) < SHORT_LINE) | t.rlike(r"^[\d\s\-.]+$") | t.rlike(IDENTIFIER)).alias("skip"), stop.alias("stop"), t.rlike(NOTE_MARKS).alias("noted"),
+        t.alias("t"), ((F.length(t) < SHORT_LINE) | t.rlike(r"^[\d\s\-.]+$") | t.rlike(IDENTIFIER)).alias("skip"), stop.alias("stop"), t.rlike(ABSTRACT).alias("heading"), t.rlike(NOTE_MARKS).alias("noted"),
         (~apart & (several | single)).alias("byline"), taken.alias("names"), t.rlike("^[{†]").alias("note"),
     )
 
@@ -108,7 +108,9 @@ def read_front(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.withColumn("_end", _first(F.transform("_l", over), F.size("_l")))
     own = F.slice(F.filter(F.slice("_l", 1, F.least("_end", F.lit(TITLE_REACH))), lambda x: F.length(x["t"]) >= SHORT_LINE), 1, TITLE_LINES)
     title = F.regexp_replace(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["t"]), " "), r"(?U)\s+", " "), "^[ \\-–—·]+|[ \\-–—·]+$", "")
-    step = step.withColumn("_title", title).withColumn("_at", _first(F.transform(F.slice("_l", 1, BYLINE_REACH), lambda x: x["byline"]), F.size("_l")))
+    # People are named above the abstract: below its heading a line like theirs is text.
+    reach = F.least(_first(F.transform("_l", lambda x: x["heading"]), F.size("_l")), F.lit(BYLINE_REACH))
+    step = step.withColumn("_title", title).withColumn("_at", _first(F.transform(F.slice("_l", F.lit(1), reach), lambda x: x["byline"]), F.size("_l")))
     step = step.withColumn("_l", F.slice(_from(F.col("_l"), F.col("_at")), 1, BYLINE_REACH))
     step = step.withColumn("_end", _first(F.transform("_l", lambda x: x["stop"] | x["note"] | (F.size(x["names"]) == 0)), F.size("_l")))
     names = F.slice(F.array_distinct(F.flatten(F.transform(F.slice("_l", 1, F.col("_end")), lambda x: x["names"]))), 1, NAMES)
