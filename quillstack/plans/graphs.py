@@ -75,12 +75,13 @@ def build_concepts(lib, extractor) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, edges, links
 
 
-def _answers(lib, extractor, size: int, chars: int) -> DataFrame:
-    """(paper_id, grp, c, raw): what the extractor says of each group of chunks c(place, chunk_id, t); null where its call failed."""
+def _answers(lib, extractor, size: int, chars: int | None) -> DataFrame:
+    """(paper_id, grp, c, raw): what the extractor says of each group of chunks c(place, chunk_id, t), of whole texts if chars is None;
+    null where its call failed."""
     import pyarrow as pa
 
     place = F.row_number().over(Window.partitionBy("paper_id").orderBy("ord", "id")) - 1
-    grouped = lib.chunks.select("paper_id", F.col("id").alias("chunk_id"), F.substring("text", 1, chars).alias("t"), place.alias("place"))
+    grouped = lib.chunks.select("paper_id", F.col("id").alias("chunk_id"), (F.col("text") if chars is None else F.substring("text", 1, chars)).alias("t"), place.alias("place"))
     grouped = grouped.groupBy("paper_id", F.expr(f"place div {size}").alias("grp")).agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "t"))).alias("c"))  # `size` chunks at most
 
     def run(batches):
@@ -104,8 +105,8 @@ def _parsed(answers: DataFrame) -> DataFrame:
     return answers.select("paper_id", "grp", F.transform("c", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), norm_title(F.coalesce(x["t"], F.lit(""))).alias("t"))).alias("c"), loose_json("raw", "entities array<struct<name:string,type:string,desc:string>>, relations array<struct<source:string,target:string,relation:string>>").alias("j")).filter("j is not null")
 
 
-def concepts_in_groups_report(lib, extractor, size: int = GROUP, chars: int = EXTRACTED) -> DataFrame:
-    """The report of build_concepts_in_groups alone. Every name of two characters and more has a node, so that nodes need not be made
+def concepts_in_groups_report(lib, extractor, size: int = GROUP, chars: int | None = None) -> DataFrame:
+    """The report of build_concepts_in_groups alone, over whole texts unless chars says otherwise. Every name of two characters and more has a node, so that nodes need not be made
     nor numbered to count: the answers are read once, and only counts and ids of chunks are summed up by paper."""
     from quillstack.functions.scalars import norm_title
 

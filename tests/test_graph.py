@@ -293,6 +293,20 @@ def test_report_of_concepts_alone(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == rows
 
 
+def test_report_reads_whole_texts(spark, tmp_path):
+    """Names at the very end of the longest chunk count, in the code as in its SQL."""
+    import duckdb
+
+    from quillstack.plans.more_queries import SQL, concept_groups_report
+
+    texts = ["y" * 1395 + "thing and " + "z" * 300 + " heoron", "y" * 1500 + "thing", "thing", "y" * 4000 + "tion", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in concept_groups_report(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(SQL["concept_groups_report"]).fetchall()) == {(0, 1, 2, 1, 1), (1, 1, 1, 0, 1), (2, 1, 1, 0, 1), (3, 1, 1, 0, 1)}
+
+
 def test_apply_fetched(spark):
     """The first source that knows a paper speaks for it; a known paper without citations loses its old ones; unknown papers stay as they are."""
     from quillstack.sources.library import apply_fetched, fetched
