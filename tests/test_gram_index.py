@@ -182,3 +182,17 @@ def test_passes(spark, tmp_path, monkeypatch):
     index = GramIndex.build(frame(spark, texts()), str(tmp_path / "ix"), buckets=8)
     index.apply(frame(spark, [(1, "thing new")]), 1)
     check(spark, index.compact(str(tmp_path / "one")), list((dict(texts()) | {1: "thing new"}).items()))
+
+
+def test_postings_are_lists_of_blocks(spark, tmp_path, monkeypatch):
+    """A gram has one row for each block of rows, not one for each row; blocks read in pieces, and terms and queries in parts, change nothing."""
+    from quillstack.operators import gram_index
+
+    same = spark.range(3000).selectExpr("id", "concat('thing and other thing ', id % 7) as text").coalesce(1)
+    index = GramIndex.build(same, str(tmp_path / "same"), buckets=2)
+    lists, held = index._read("postings").agg(F.count("*"), F.sum(F.size("at"))).first()
+    assert held > 50_000 and lists <= 40 * (3000 // gram_index.BLOCK + 1)
+    monkeypatch.setattr(gram_index, "CHARS", 50)
+    monkeypatch.setattr(gram_index, "ASKED", 2)
+    rows = [*texts(), (900, "".join(map(chr, range(0x4E00, 0x4F00))) + "\U0001f600\U0001f601\U0001f602 thing")]
+    check(spark, GramIndex.build(frame(spark, rows), str(tmp_path / "ix"), buckets=8), rows)
