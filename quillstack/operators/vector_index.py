@@ -29,6 +29,9 @@ from .vectors import best_pairs, unit
 
 #: Rows of a block; clusters, at most; rows that centres are fitted on, at most, and rounds of fitting; queries of a block.
 BLOCK, CLUSTERS, SAMPLE, ROUNDS, ASKED = 4096, 1024, 16_384, 8, 1024
+#: Rows of a tile, about: a similarity join copies a row to as many tasks as there are tiles that it may have to do with. Smaller tables have
+#: smaller tiles, of this many rows at least, as long as there are no more than so many.
+TILE, SMALL_TILE, TILES = 32_768, 1024, 8
 #: Bounds are widened by what rounding to six places and sums of products may differ by.
 SLACK = 2e-6
 
@@ -201,30 +204,58 @@ class VectorIndex:
         a, b = np.nonzero(np.triu(bound >= threshold))
         return np.stack([a, b], 1)
 
+    def tiles(self, met: np.ndarray) -> np.ndarray:
+        """The tile of each block, clusters' blocks in order: clusters follow each other from one to its nearest, and fill tiles of TILE rows at most,
+        about. Clusters that meet none have the tile -1."""
+        left, most = met.any(1), min(TILE, max(SMALL_TILE, int(self.n.sum()) // TILES))
+        near = self.centres @ self.centres.T
+        tile, rows, at = [np.full(b, -1) for b in self.blocks], 0, int(np.argmax(left))
+        while left[at]:
+            left[at] = False
+            size = self.n[at] / self.blocks[at]
+            tile[at] = ((rows + np.arange(self.blocks[at]) * size) // most).astype(int)
+            rows += self.n[at]
+            at = int(np.argmax(np.where(left, near[at], -np.inf)))
+        return np.concatenate(tile)
+
     def similar(self, threshold: float, k: int | None = None) -> DataFrame:
         """(a, b, sim): rows of cosine >= threshold, rounded to six places, each with its k best others (all, if None), both ways.
-        Only blocks of clusters that may hold such rows meet, and only they are copied to each other."""
-        met = self.meetings(threshold)
-        pairs = self.spark.createDataFrame([(int(self.ids[a]), int(self.ids[b]), int(self.blocks[a]), int(self.blocks[b])) for a, b in met], "ca int, cb int, na int, nb int") if len(met) else None
-        schema = "a long, b long, sim double"
-        if pairs is None:
+        Only clusters that may hold such rows meet. Blocks meet by tiles, so that a row is copied once for each other tile, at most, and a task
+        holds two tiles."""
+        pairs, schema = self.meetings(threshold), "a long, b long, sim double"
+        if not len(pairs):
             return self.spark.createDataFrame([], schema)
-        both = pairs.withColumn("ba", F.explode(F.expr("sequence(0, na - 1)"))).withColumn("bb", F.explode(F.expr("sequence(0, nb - 1)"))).filter("ca < cb or ba <= bb").select("ca", "ba", "cb", "bb")
-
-        def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            out = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "sim": np.empty(0)})
-            if not len(x) or not len(y):
-                return out
-            p, q, ip, iq, parts = unit(np.array(x["v"].to_list())), unit(np.array(y["v"].to_list())), x["id"].to_numpy(), y["id"].to_numpy(), [out]
-            one = (x["cluster"].iloc[0], x["block"].iloc[0]) == (y["cluster"].iloc[0], y["block"].iloc[0])
-            for m, ids, n, others in ((p, ip, q, iq),) if one else ((p, ip, q, iq), (q, iq, p, ip)):
-                parts.append(pd.DataFrame(dict(zip(("a", "b", "sim"), best_pairs(m, ids, n, others, k, threshold, same=False)))))
-            return pd.concat(parts)
-
-        left = self.rows().withColumnsRenamed({"cluster": "ca", "block": "ba"}).join(both, ["ca", "ba"]).select("id", "v", F.col("ca").alias("cluster"), F.col("ba").alias("block"), "ca", "ba", "cb", "bb")
-        right = self.rows().withColumnsRenamed({"cluster": "cb", "block": "bb"}).join(both, ["cb", "bb"]).select("id", "v", F.col("cb").alias("cluster"), F.col("bb").alias("block"), "ca", "ba", "cb", "bb")
-        at = ("ca", "ba", "cb", "bb")
-        found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(best, schema)
+        met = np.zeros((len(self.ids), len(self.ids)), bool)
+        met[pairs[:, 0], pairs[:, 1]] = met[pairs[:, 1], pairs[:, 0]] = True
+        owner, block = np.repeat(np.arange(len(self.ids)), self.blocks), np.concatenate([np.arange(b) for b in self.blocks])
+        tile = self.tiles(met)
+        # Which clusters have to do with a tile's.
+        reach = np.stack([met[:, np.unique(owner[tile == t])].any(1) for t in range(tile.max() + 1)], 1)
+        unit_, other = np.nonzero(reach[owner] & (tile >= 0)[:, None])
+        own = tile[unit_]
+        dealt = pd.DataFrame({"cluster": self.ids[owner[unit_]], "block": block[unit_], "ta": np.minimum(own, other), "tb": np.maximum(own, other), "second": own > other, "at": owner[unit_]})
+        places = self.spark.createDataFrame(dealt, "cluster int, block int, ta int, tb int, second boolean, at int")
+
+        def best(rows: pa.Table) -> pa.Table:
+            rows, parts = rows.combine_chunks(), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+            ids, at, second = rows["id"].to_numpy(), rows["at"].to_numpy(), rows["second"].to_numpy(zero_copy_only=False)
+            v = unit(rows["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1))
+            # One tile's rows among themselves, or those of two tiles, both ways.
+            one = rows["ta"][0] == rows["tb"][0]
+            for x, y in ((~second, ~second),) if one else ((~second, second), (second, ~second)):
+                if not x.any() or not y.any():
+                    continue
+                if met[np.ix_(np.unique(at[x]), np.unique(at[y]))].all():
+                    parts.append(best_pairs(v[x], ids[x], v[y], ids[y], k, threshold, same=False))
+                    continue
+                for c in np.unique(at[x]):
+                    few, others = x & (at == c), y & met[c, at]
+                    if others.any():
+                        parts.append(best_pairs(v[few], ids[few], v[others], ids[others], k, threshold, same=False))
+            return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts)], ["a", "b", "sim"])
+
+        rows = self.rows().join(places, ["cluster", "block"]).select("id", "v", "at", "ta", "tb", "second")
+        found = rows.groupBy("ta", "tb").applyInArrow(best, schema)
         if k is None:
             return found
         return found.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).filter(F.col("n") <= k).drop("n")

@@ -81,6 +81,24 @@ def test_similar(spark, tmp_path, k):
     assert len(index.meetings(0.9)) < len(index.ids) * (len(index.ids) + 1) // 2
 
 
+def test_similar_by_tiles(spark, tmp_path, monkeypatch):
+    """Rows are copied by tiles, not by pairs of blocks: to few tasks, whether or not clusters are far apart, with the same pairs."""
+    from quillstack.operators import vector_index
+
+    for tile, spread, least in ((60, 0.4, 0.9), (60, 3.0, 0.3), (4000, 3.0, 0.3)):
+        monkeypatch.setattr(vector_index, "TILE", tile)
+        rows = clustered(400, groups=12, spread=spread) + [(9000, [0.0] * 16), (9001, clustered(1)[0][1])]
+        index = VectorIndex.build(spark.createDataFrame(rows, SCHEMA), str(tmp_path / f"ix{tile}{spread}"), clusters=40, block=20)
+        met = np.zeros((len(index.ids), len(index.ids)), bool)
+        met[tuple(index.meetings(least).T)] = True
+        assert len(set(index.tiles(met | met.T)) - {-1}) <= 402 // tile + 1 < len(index.ids)
+        want = set()
+        for i, v in rows:
+            ids, s = sims(rows, v)
+            want |= {(i, int(ids[j])) for j in [j for j in np.lexsort((ids, -s)) if ids[j] != i and s[j] >= least][:3]}
+        assert {(r["a"], r["b"]) for r in index.similar(least, 3).collect()} == want and len(want) > 100
+
+
 def test_empty(spark, tmp_path):
     index = VectorIndex.build(spark.createDataFrame([], SCHEMA), str(tmp_path / "ix"))
     assert index.topk(spark.createDataFrame([(1, [1.0])], "q long, vector array<float>")).collect() == [] and index.similar(0.5).collect() == []
