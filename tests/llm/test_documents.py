@@ -236,6 +236,31 @@ def test_substrings(spark, batch):
             assert all(a["e"] < b["s"] for a, b in zip(r["spans"], r["spans"][1:]))
 
 
+def test_recurring_anchors(spark, monkeypatch):
+    """Anchors travel as lists by part of their hashes, not as rows; those of two places are found, a text's copies under its least id."""
+    import random
+
+    monkeypatch.setattr(substrings, "PART", 200)
+    r = random.Random(9)
+    text = lambda n: "".join(r.choices("abcdef ", k=n))
+    common, own = text(400), [text(900) for _ in range(12)]
+    docs = [(i, t + common * (i % 3 == 0)) for i, t in enumerate(own)] + [(None, own[1]), (50, own[1]), (-4, own[2]), (51, own[5] * 2), (52, "short")]
+    long = substrings._texts(frame(spark, docs), "doc_id", "text").filter("n >= 100")
+    lists = substrings._anchor_lists(long, 100, 16, np.empty(0, np.uint64), 3).selectExpr("size(h) as n").collect()
+    assert len(lists) <= 3 * 8 * 4 and sum(x["n"] for x in lists) > 200
+    places, least, known = defaultdict(set), {}, set()
+    for i, t in docs:
+        x, h, _, _ = substrings.anchors_of(t.encode(), 100, 16)
+        least[t] = min(least.get(t, (True, 10**9)), (i is not None, i or 0))
+        for xx, hh in sorted(zip(x.tolist(), h.tolist())):
+            if (t, hh) not in known:
+                known.add((t, hh))
+                places[hh].add((t, xx))
+    want = {(least[t][1] if least[t][0] else None, x) for p in places.values() if len(p) > 1 for t, x in p}
+    got = {(row["doc_id"], x) for row in substrings._recurring(long, 100, 16, np.empty(0, np.uint64)).collect() for x in row["places"] if x >= 0}
+    assert got == want and len({i for i, _ in got}) > 4
+
+
 def test_substrings_repeated_rows(spark):
     t = "abcdefghij" * 3 + "klmnopqrstuvwxyz" * 8 + "0123456789" * 7
     got = rows_of(substrings.remove_repeats(frame(spark, [(5, t), (5, t), (7, "x" + t)])))
